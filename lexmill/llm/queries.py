@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import bpe, token_counts, toxicity
+from lexmill.llm import bpe, quality, token_counts, toxicity
 from lexmill.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity of every document, and whether it is rejected."""
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document; the target are documents labelled good."""
+    trusted = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality.quality(read_table(spark, sf_dir, "documents"), trusted)
