@@ -74,12 +74,11 @@ def rules(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
             covered[inside[again] + j] = True
     breaks = np.flatnonzero(data == 10)
     starts = np.union1d(offsets[:-1], breaks + 1)
-    stops = np.union1d(breaks, offsets[1:])
     starts = starts[starts < n]
-    ends = stops[np.searchsorted(stops, starts)] if len(starts) else starts
-    with_word = np.searchsorted(s, ends) > np.searchsorted(s, starts)
-    starts, ends = starts[with_word], ends[with_word]
     line_row = np.searchsorted(offsets, starts, "right") - 1
+    ends = np.minimum(np.append(breaks, n)[np.searchsorted(breaks, starts)], offsets[line_row + 1])
+    with_word = np.searchsorted(s, ends) > np.searchsorted(s, starts)
+    starts, ends, line_row = starts[with_word], ends[with_word], line_row[with_word]
     later = _repeats(K.span_hashes(sums, starts, ends), line_row)[1]
     return {
         "n_words": np.diff(wo),
