@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import bpe, quality, token_counts, toxicity
+from lexmill.llm import bpe, pii, quality, token_counts, toxicity
 from lexmill.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document; the target are documents labelled good."""
     trusted = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return quality.quality(read_table(spark, sf_dir, "documents"), trusted)
+
+
+@query
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.pii(read_table(spark, sf_dir, "documents"))
