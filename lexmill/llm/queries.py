@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, pii, quality, token_counts, toxicity
+from lexmill.llm import bpe, line_dedup, pii, quality, token_counts, toxicity
 from lexmill.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +59,30 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return pii.pii(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines removed from every document, and a digest of what stays."""
+    out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"), details=True)
+    return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+ORACLES["op4_line_dedup"] = r"""
+WITH lines AS (
+  SELECT doc_id, coalesce('=' || source, '') AS site, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS line
+  FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents)
+), keyed AS (
+  SELECT doc_id, site, pos, line, trim(line, ' ' || chr(9) || chr(13)) AS k FROM lines
+), boiler AS (
+  SELECT k, min((doc_id, pos)) AS first FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT site) >= 10
+), marked AS (
+  SELECT x.doc_id, x.pos, x.line, b.k IS NOT NULL AND (x.doc_id, x.pos) > b.first AS gone
+  FROM keyed x LEFT JOIN boiler b ON x.k = b.k
+), texts AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept
+  FROM marked GROUP BY doc_id
+)
+SELECT doc_id, n_lines, n_removed, length(kept)::BIGINT AS kept_chars, sha256(kept) AS kept_sha256 FROM texts
+"""
