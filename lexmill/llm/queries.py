@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, line_dedup, pii, quality, token_counts, toxicity
+from lexmill.llm import bpe, line_dedup, pii, quality, token_counts, toxicity, url_filters
 from lexmill.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,50 @@ WITH lines AS (
 )
 SELECT doc_id, n_lines, n_removed, length(kept)::BIGINT AS kept_chars, sha256(kept) AS kept_sha256 FROM texts
 """
+
+
+@query
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    return url_filters.judge(read_table(spark, sf_dir, "pages")).drop("alias_of")
+
+
+ORACLES["op1_url_filters"] = r"""
+WITH RECURSIVE parts AS (
+  SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), named AS (
+  SELECT page_id, html, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^#]*)', 1) AS tail FROM parts
+), pages_n AS (
+  SELECT page_id, html, host, path, CASE WHEN host <> '' THEN host || tail END AS node FROM named
+), rules(rule, rhost, rpath, decision) AS (
+  VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'),
+    ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')
+), tags AS (
+  SELECT node AS a, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages_n WHERE node IS NOT NULL
+), targets AS (
+  SELECT a, CASE
+      WHEN regexp_matches(tag, '(?is)\srel\s*=\s*["'']?canonical["''\s>]') THEN regexp_extract(tag, '(?is)\shref\s*=\s*["'']?([^"''\s>]+)', 1)
+      WHEN regexp_matches(tag, '(?is)\shttp-equiv\s*=\s*["'']?refresh["''\s>]') THEN regexp_extract(tag, '(?is)url\s*=\s*["'']?([^"''\s>]+)', 1)
+    END AS target FROM tags
+), split AS (
+  SELECT a, substr(target, instr(target, '://') + 3) AS rest FROM targets WHERE instr(target, '://') > 0
+), edges AS (
+  SELECT DISTINCT a, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS b FROM split
+), both_ways AS (
+  SELECT a, b FROM edges UNION SELECT b, a FROM edges
+), reach(x, y) AS (
+  SELECT DISTINCT a, a FROM both_ways UNION SELECT r.x, e.b FROM reach r JOIN both_ways e ON r.y = e.a
+), judged AS (
+  SELECT x, max(CASE WHEN d = 'block' THEN 1 ELSE 0 END) AS blocked FROM (
+    SELECT x, y, (SELECT arg_max(decision, length(rule)) FROM rules
+      WHERE (regexp_extract(y, '^[^/?#]*') = rhost OR ends_with(regexp_extract(y, '^[^/?#]*'), '.' || rhost)) AND starts_with(regexp_extract(y, '^[^/?#]*([^?#]*)', 1), rpath)) AS d
+    FROM reach) GROUP BY x
+), fitted AS (
+  SELECT p.page_id, p.host, p.path, p.node, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.decision, length(r.rule)) AS own
+  FROM pages_n p LEFT JOIN rules r ON (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath)
+  GROUP BY ALL
+)
+SELECT f.page_id, f.host, f.path, f.rule, coalesce(f.own, CASE WHEN j.blocked = 1 THEN 'block' ELSE 'allow' END) AS verdict
+FROM fitted f LEFT JOIN judged j ON f.node = j.x
+"""
