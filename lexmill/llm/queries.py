@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, line_dedup, pii, quality, token_counts, toxicity, url_filters
+from lexmill.llm import bpe, decontamination, line_dedup, pii, quality, token_counts, toxicity, url_filters
 from lexmill.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,34 @@ WITH RECURSIVE parts AS (
 SELECT f.page_id, f.host, f.path, f.rule, coalesce(f.own, CASE WHEN j.blocked = 1 THEN 'block' ELSE 'allow' END) AS verdict
 FROM fitted f LEFT JOIN judged j ON f.node = j.x
 """
+
+
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words in every document."""
+    out = decontamination.decontamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+ORACLES["op2_decontamination"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), iw AS (
+  SELECT DISTINCT item_id, m, array_to_string(w[s + 1 : s + m], ' ') AS t FROM (
+    SELECT item_id, w, least(13, len(w)) AS m, unnest(range(0, len(w) - least(13, len(w)) + 1)) AS s FROM i WHERE len(w) > 0)
+), dw AS (
+  SELECT doc_id, s, m, array_to_string(w[s + 1 : s + m], ' ') AS t FROM (
+    SELECT doc_id, w, m, unnest(range(0, len(w) - m + 1)) AS s FROM d, (SELECT DISTINCT m FROM iw) WHERE len(w) >= m)
+), f AS (
+  SELECT DISTINCT doc_id, s, dw.m AS m, item_id FROM dw JOIN iw USING (m, t)
+), h AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + m)) AS p FROM f) GROUP BY doc_id
+), n AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM f GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
