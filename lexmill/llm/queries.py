@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, decontamination, line_dedup, minhash, pii, quality, token_counts, toxicity, url_filters
+from lexmill.llm import bpe, decontamination, line_dedup, minhash, pii, quality, suffix_dedup, token_counts, toxicity, url_filters
 from lexmill.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +170,9 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of near copies of every document."""
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat earlier ones."""
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents")).drop("spans")
