@@ -136,5 +136,5 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated."""
-    bad = decontamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    bad = decontamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")

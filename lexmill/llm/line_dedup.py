@@ -74,14 +74,17 @@ def dedup_lines(docs: DataFrame, sites: int = SITES, details: bool = False) -> D
 
     ``details=True`` adds ``n_lines`` (all lines) and ``n_removed``.
     """
-    own = [c for c in docs.columns]
-    hits = removed_lines(docs, sites).select(F.col("doc_id").alias("_id"), "removed")
-    joined = docs.join(hits, F.col("doc_id") == F.col("_id"), "left")
+    own = docs.columns
+    hits = removed_lines(docs, sites).select(F.col("doc_id").alias("__id"), F.col("removed").alias("__removed"))
+    joined = docs.join(hits, F.col("doc_id") == F.col("__id"), "left")
     lines = F.split(F.col("text").cast("string"), "\n", -1)
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed")), lambda i: F.get(lines, i)), "\n")
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)
-    out = joined.withColumns({"_text": text, "n_lines": n.cast("long"), "n_removed": F.coalesce(F.size("removed"), F.lit(0)).cast("long")})
-    columns = [F.col("_text").alias("text") if c == "text" else F.col(c) for c in own]
-    out = out.select(*columns, *([F.col("n_lines").alias("n_lines"), F.col("n_removed").alias("n_removed")] if details else []))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in own else out
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed")), lambda i: F.get(lines, i)), "\n")
+    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept)
+    out = {"text": text}
+    if "n_chars" in own:
+        out["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    columns = [out.get(c, F.col(f"`{c}`")).alias(c) for c in own]
+    if details:
+        n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
+        columns += [n.cast("long").alias("n_lines"), F.coalesce(F.size("__removed"), F.lit(0)).cast("long").alias("n_removed")]
+    return joined.select(*columns)

@@ -225,5 +225,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
