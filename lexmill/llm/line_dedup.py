@@ -35,10 +35,13 @@ def _key(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, site, pos, key) of every line that is not blank."""
+    """(doc_id, site, pos, key) of every line that is not blank.
+
+    Sites are never empty strings, which sketches leave out.
+    """
     return (
         docs.where("doc_id is not null")
-        .select("doc_id", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("site"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("pos", "line"))
+        .select("doc_id", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-")).alias("site"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("pos", "line"))
         .select("doc_id", "site", "pos", _key(F.col("line")).alias("key"))
         .where("key is not null")
     )
@@ -80,11 +83,10 @@ def dedup_lines(docs: DataFrame, sites: int = SITES, details: bool = False) -> D
     lines = F.split(F.col("text").cast("string"), "\n", -1)
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed")), lambda i: F.get(lines, i)), "\n")
     text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept)
-    out = {"text": text}
-    if "n_chars" in own:
-        out["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
-    columns = [out.get(c, F.col(f"`{c}`")).alias(c) for c in own]
+    columns = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in own]
     if details:
         n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
         columns += [n.cast("long").alias("n_lines"), F.coalesce(F.size("__removed"), F.lit(0)).cast("long").alias("n_removed")]
-    return joined.select(*columns)
+    out = joined.select(*columns)
+    # in a projection of its own: the text must be put together once
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in own else out

@@ -9,6 +9,9 @@ Features of a text are the hashed words and the hashed first 4 and 5 bytes of lo
 counts differ between clean and graded texts by at least ``Z`` standard deviations take part,
 so that long clean texts don't add up the small weights of thousands of chance features.
 
+Labels say only toxic or not. Toxic training texts with more indicative features than the
+median toxic one are the severe grade, so the thresholds grade what the features measure.
+
 Training uses at most ``train_rows`` labelled documents (a documented bound; chosen by a
 hash of the id, so the choice is the same in every run); scoring reads every document.
 
@@ -32,11 +35,11 @@ from lexmill.llm import kernels as K
 from lexmill.session import ship
 
 #: Hashed features.
-BITS = 18
+BITS = 20
 #: Most labelled documents that train the model.
 TRAIN_ROWS = 12_000
 #: Expected severity from which a document is rejected.
-REJECT_AT = 0.4
+REJECT_AT = 0.25
 #: Standard deviations by which a feature's count among graded texts must differ from chance.
 Z = 6.0
 #: Training documents that must hold a feature.
@@ -85,7 +88,24 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit(feature: np.ndarray, offsets: np.ndarray, grade: np.ndarray, bits: int = BITS, rounds: int = 200, rate: float = 0.1, ridge: float = 1e-4) -> OrdinalModel:
+def lifts(feature: np.ndarray, row: np.ndarray, grade: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Standard deviations by which each feature is more frequent in graded texts than by chance."""
+    graded = float((grade > 0).mean())
+    seen = np.bincount(feature, minlength=1 << bits)
+    hits = np.bincount(feature[grade[row] > 0], minlength=1 << bits)
+    z = (hits - seen * graded) / np.sqrt(np.maximum(seen * graded * (1 - graded), 1e-9))
+    return np.where(seen >= LEAST_DOCS, z, 0)
+
+
+def refine(grade: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """Grades 0 < 1 < 2 from 0/1 labels: toxic texts with more than the usual number of
+    indicative features are the severe ones."""
+    usual = np.median(hits[grade == 1])
+    severe = (grade == 1) & (hits > usual)
+    return grade + severe if severe.any() and not severe[grade == 1].all() else grade
+
+
+def fit(feature: np.ndarray, offsets: np.ndarray, grade: np.ndarray, bits: int = BITS, rounds: int = 200, rate: float = 0.1, ridge: float = 1e-5) -> OrdinalModel:
     """Maximum likelihood by Adam on the whole (bounded) sample; the same in every run.
 
     Thresholds are theta[0] and positive steps above it, so they stay ordered.
@@ -94,12 +114,12 @@ def fit(feature: np.ndarray, offsets: np.ndarray, grade: np.ndarray, bits: int =
     if classes < 2:
         return OrdinalModel(np.zeros(1 << bits), np.full(max(classes - 1, 1), 35.0))
     row = K.row_of(offsets)
-    graded = float((grade > 0).mean())
-    seen = np.bincount(feature, minlength=1 << bits)
-    hits = np.bincount(feature[grade[row] > 0], minlength=1 << bits)
-    z = (hits - seen * graded) / np.sqrt(np.maximum(seen * graded * (1 - graded), 1e-9))
-    taken = ((np.abs(z) >= Z) & (seen >= LEAST_DOCS))[feature]
+    lift = lifts(feature, row, grade, bits)
+    taken = (np.abs(lift) >= Z)[feature]
     feature, row = feature[taken], row[taken]
+    if classes == 2:
+        grade = refine(grade, np.bincount(row, lift[feature] > 0, len(grade)))
+        classes = int(grade.max()) + 1
     above = grade[:, None] > np.arange(classes - 1)[None, :]
     share = np.clip(above.mean(0), 1e-4, 1 - 1e-4)
     start = np.log((1 - share) / share)
@@ -169,9 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, bits
 
 
 def grades(labels: DataFrame) -> DataFrame:
-    """Severity grades from the 0/1 labels: 0 clean, 1 toxic, 2 toxic and of low quality."""
-    toxic, quality = F.col("toxic").cast("int"), F.col("quality").cast("int")
-    return labels.select("doc_id", F.when(toxic == 1, F.when(quality == 0, 2).otherwise(1)).when(toxic == 0, 0).alias("grade"))
+    """Grades 0 and 1 from the 0/1 labels; ``fit`` tells the severe ones apart."""
+    return labels.select("doc_id", F.when(F.col("toxic").cast("int") == 1, 1).when(F.col("toxic").cast("int") == 0, 0).alias("grade"))
 
 
 def score(docs: DataFrame, model: OrdinalModel, reject_at: float = REJECT_AT, bits: int = BITS, keep: bool = False) -> DataFrame:
@@ -203,6 +222,6 @@ def score(docs: DataFrame, model: OrdinalModel, reject_at: float = REJECT_AT, bi
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, train_on: DataFrame | None = None, keep: bool = False, train_rows: int = TRAIN_ROWS, reject_at: float = REJECT_AT) -> DataFrame:
-    """Train on ``labels`` (doc_id, toxic, quality) over ``train_on`` and score ``docs``."""
+    """Train on ``labels`` (doc_id, toxic) over ``train_on`` and score ``docs``."""
     model = train(docs if train_on is None else train_on, grades(labels), train_rows)
     return score(docs, model, reject_at, keep=keep)
