@@ -172,7 +172,11 @@ def _neighbours(orders: DataFrame, kind: str) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, shingles): full sets of the wanted documents."""
+    """(doc_id, shingles): full sets of the wanted documents.
+
+    The wanted ids grow with the corpus, so texts and ids are dealt by id at every size
+    instead of sending the ids to every task while they happen to be few.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +185,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 h, so = K.shingle_sets(d, o, SHINGLE)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(so, pa.int32()), pa.array(h.view(np.int64)))], ["doc_id", "shingles"])
 
-    picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
+    picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(wanted.hint("merge"), "doc_id", "left_semi")
     kind = picked.schema[0].dataType.simpleString()
     return picked.mapInArrow(run, f"doc_id {kind}, shingles array<bigint>").dropDuplicates(["doc_id"])
 
