@@ -1,19 +1,15 @@
-"""Registered queries over the driver's tables and their DuckDB equivalents."""
+"""All registered queries over the driver's tables and their DuckDB equivalents."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lexmill.session import read_table
+from lexmill.plans import io_queries, table_queries, text_queries  # noqa: F401  (they register)
+from lexmill.plans.registry import ORACLES, QUERIES
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per language: lines kept and removed by corpus-wide exact line dedup."""
-    lines = read_table(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", "\n", -1)).alias("line"))
-    return lines.groupBy("lang").agg(F.count("*").alias("n_lines"))
+    return QUERIES["d5_corpus_line_dedup_stats"](spark, sf_dir)
