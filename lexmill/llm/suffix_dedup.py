@@ -484,14 +484,15 @@ def remove_repeats(docs: DataFrame, buckets: int | None = None, crowded_here: in
     if buckets is None:
         buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    every = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
+    # renamed columns: an alias of the same name is dropped in one branch only, and the exchange not shared
+    every = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("body"))
     texts = every.where("id is not null")
     found = _resolve(_extract(texts, buckets, crowded_here), crowded)
     pieces = F.collect_list(F.struct("lo", "n", "h", "state"))
     opened = found.where(F.col("state") != REPEATED).groupBy("doc_id").agg(pieces.alias("pieces"))
-    fetched = _fetch(texts.join(opened, F.col("id") == F.col("doc_id")).select("id", "text", "pieces"))
+    fetched = _fetch(texts.join(opened, F.col("id") == F.col("doc_id")).select("id", "body", "pieces"))
     repeats = found.where(F.col("state") == REPEATED).select("doc_id", "lo", "n").unionByName(_compare(fetched))
     cut = repeats.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("pieces"))
-    joined = texts.join(cut, F.col("id") == F.col("doc_id"), "left").select("id", "text", "pieces")
-    alone = every.where("id is null").select("id", "text", F.lit(None).cast(joined.schema["pieces"].dataType).alias("pieces"))
+    joined = texts.join(cut, F.col("id") == F.col("doc_id"), "left").select("id", "body", "pieces")
+    alone = every.where("id is null").select("id", "body", F.lit(None).cast(joined.schema["pieces"].dataType).alias("pieces"))
     return _finish(joined.unionByName(alone)).withColumn("doc_id", F.col("doc_id").cast(kind))
