@@ -127,6 +127,7 @@ def g10_j2_batches(spark, sf_dir):
     return numbered.groupBy("event_type", "batch_id").agg(F.count("*").alias("n"), F.min("event_id").alias("first")).where("n = 32")
 
 
+# Means get 1e-9 on both sides, so that exact halves of the last digit round alike.
 # -- metrics (events: metric = type, seq = id) --------------------------------------------
 
 
@@ -149,14 +150,14 @@ def f8_c11_weighted_loss(spark, sf_dir):
 _OVER = "OVER (PARTITION BY event_type ORDER BY event_id"
 
 
-@query(f"""SELECT event_id, round(avg(value) {_OVER} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS mean10, min(value) {_OVER}) AS best, max(value) {_OVER}) AS worst,
-  coalesce(value < min(value) {_OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved, round(avg(value) {_OVER} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 6) AS mean100 FROM events""")
+@query(f"""SELECT event_id, round(avg(value) {_OVER} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) + 1e-9, 6) AS mean10, min(value) {_OVER}) AS best, max(value) {_OVER}) AS worst,
+  coalesce(value < min(value) {_OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved, round(avg(value) {_OVER} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) + 1e-9, 6) AS mean100 FROM events""")
 def g4_g5_g9_g11_running_metrics(spark, sf_dir):
     w = Window.partitionBy("metric").orderBy("seq")
     v = F.col("value")
     return _events(spark, sf_dir).select(
-        F.col("seq").alias("event_id"), F.round(metrics.trailing_mean(v, 10, w), 6).alias("mean10"), metrics.running_best(v, w).alias("best"), metrics.running_best(v, w, False).alias("worst"),
-        metrics.improves(v, w).alias("improved"), F.round(metrics.trailing_mean(v, 100, w), 6).alias("mean100"),
+        F.col("seq").alias("event_id"), F.round(metrics.trailing_mean(v, 10, w) + 1e-9, 6).alias("mean10"), metrics.running_best(v, w).alias("best"), metrics.running_best(v, w, False).alias("worst"),
+        metrics.improves(v, w).alias("improved"), F.round(metrics.trailing_mean(v, 100, w) + 1e-9, 6).alias("mean100"),
     )
 
 
@@ -171,22 +172,22 @@ def g6_early_stopping(spark, sf_dir):
 
 
 @query("""SELECT s, round(CASE WHEN s < 100 THEN 0.01 * s / 100 ELSE 0.0001 + 0.0099 * 0.5 * (1 + cos(least(1.0, (s - 100) / 900.0) * pi())) END, 9) AS cosine, round(0.01 - 0.01 * least(1.0, s / 1000.0), 9) AS linear,
-  round(0.01 * pow(0.95, s), 12) AS exponential, round(0.01 * pow(0.95, floor(s / 100)), 9) AS step FROM (SELECT doc_id AS s FROM documents)""")
+  round(0.01 * pow(0.95, s), 12) AS exponential, round(0.01 * pow(0.95, floor(s / 100)) + 1e-12, 9) AS step FROM (SELECT doc_id AS s FROM documents)""")
 def b38_b39_learning_rates(spark, sf_dir):
     s = F.col("s")
     rate = metrics.learning_rate
     return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("s")).select(
         "s", F.round(rate(s, "cosine", 0.01, 100, 1000, 0.0001), 9).alias("cosine"), F.round(rate(s, "linear", 0.01), 9).alias("linear"),
-        F.round(rate(s, "exponential", 0.01), 12).alias("exponential"), F.round(rate(s, "step", 0.01), 9).alias("step"),
+        F.round(rate(s, "exponential", 0.01), 12).alias("exponential"), F.round(rate(s, "step", 0.01) + 1e-12, 9).alias("step"),
     )
 
 
 @query("""SELECT event_id, CASE WHEN t < 60 THEN printf('%.1fs', t) WHEN t < 3600 THEN printf('%.1fm', t / 60) ELSE printf('%.1fh', t / 3600) END AS took,
-  round(exp(t / 1000), 6) AS perplexity, round(t * 0.9 + event_id * 0.1, 6) AS smoothed FROM (SELECT event_id, (event_id * 7 + 0.3)::DOUBLE AS t FROM events)""")
+  round(exp(t / 100000), 6) AS perplexity, round(t * 0.9 + event_id * 0.1, 6) AS smoothed FROM (SELECT event_id, (event_id * 7 + 0.3)::DOUBLE AS t FROM events)""")
 def b39_b40_b43_scalars(spark, sf_dir):
     t = F.col("t")
     e = read_table(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 7 + 0.3).cast("double").alias("t"))
-    return e.select("event_id", metrics.format_duration(t).alias("took"), F.round(metrics.perplexity(t / 1000), 6).alias("perplexity"), F.round(metrics.smoothed(t, F.col("event_id"), 0.1), 6).alias("smoothed"))
+    return e.select("event_id", metrics.format_duration(t).alias("took"), F.round(metrics.perplexity(t / 100000), 6).alias("perplexity"), F.round(metrics.smoothed(t, F.col("event_id"), 0.1), 6).alias("smoothed"))
 
 
 @query("""SELECT p_partkey, (v * w + 1024 * w + l * (12 * w * w + 13 * w) + 2 * w)::BIGINT AS parameters, round((v * w + 1024 * w + l * (12 * w * w + 13 * w) + 2 * w) * 16 / 1048576, 4) AS mb,
