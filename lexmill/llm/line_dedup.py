@@ -30,7 +30,7 @@ BAND = 0.2
 
 def _key(line: Column) -> Column:
     """128-bit line hash, null for blank lines."""
-    bare = F.regexp_replace(line, r"^[ \t\r]+|[ \t\r]+$", "")
+    bare = F.btrim(line, F.lit(" \t\r"))
     return F.when(bare != "", F.unhex(F.md5(bare)))
 
 
