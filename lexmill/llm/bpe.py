@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 
 from lexmill.session import ship
 
-#: Entries of a worker's fragment cache; when it is full, new fragments are encoded each time.
-CACHE_ENTRIES = 600_000
+#: Entries of a task's fragment cache; when it is full, new fragments are encoded each time.
+CACHE_ENTRIES = 200_000
 #: Longer fragments are encoded but not kept.
 CACHE_CHARS = 48
 #: Fragments longer than this are cut again between characters that are no blanks.
@@ -230,6 +230,11 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(path)
+        use.cache.clear()
+        yield from encoded(use, batches)
+        use.cache.clear()  # the worker lives on, beside whatever runs next
+
+    def encoded(use: FragmentCodec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             count, ids_sha, text_sha, ids, decoded = [], [], [], [], []

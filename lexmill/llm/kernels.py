@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes that are handled at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _R = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse
 _RINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
