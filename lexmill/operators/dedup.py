@@ -37,6 +37,22 @@ def dedup_corpus_lines(docs: DataFrame, key=U.line_key) -> DataFrame:
     return size.join(texts, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "n_lines", F.coalesce("n_kept", F.lit(0)).cast("long").alias("n_kept"))
 
 
+def line_dedup_stats(docs: DataFrame, by: str, key=U.line_key) -> DataFrame:
+    """Per group ``by``: lines, kept, removed and distinct ones of corpus-wide dedup.
+
+    One pass over the lines: counts per hash and group first, so what is shuffled to a hash
+    is a row per group, however often the line is found.
+    """
+    each = docs.select(by, "doc_id", F.posexplode(T.lines(F.col("text"))).alias("pos", "line")).withColumn("k", key(F.col("line")))
+    per = each.select(by, "doc_id", "pos", F.when(F.col("k") != "", T.line_hash(F.col("k"))).alias("h")).groupBy("h", by).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("f"))
+    hashes = per.groupBy("h").agg(F.min(F.struct("f", by)).alias("first"), F.collect_list(F.struct(by, "n")).alias("all"))
+    groups = hashes.select("h", F.col("first")[by].alias("owner"), F.explode("all").alias("g")).select("h", F.col("g")[by].alias(by), F.col("g.n").alias("n"), F.col("g")[by].eqNullSafe(F.col("owner")).cast("long").alias("own"))
+    kept = F.when(F.col("h").isNull(), F.col("n")).otherwise(F.col("own"))
+    return groups.groupBy(by).agg(
+        F.sum("n").alias("n_lines"), F.sum(kept).alias("n_kept"), F.sum(F.col("n") - kept).alias("n_removed"), F.sum(F.when(F.col("h").isNull(), 0).otherwise(F.col("own"))).alias("n_distinct")
+    )
+
+
 def dedup_own_lines(docs: DataFrame, key=U.line_key) -> DataFrame:
     """The same within each document, without a shuffle across documents."""
     lined = keyed_lines(docs, key)

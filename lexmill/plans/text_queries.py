@@ -451,14 +451,7 @@ def d5_corpus_line_dedup(spark, sf_dir):
 @query(_LINES + "SELECT lang, count(*) AS n_lines, count(*) FILTER (kept) AS n_kept, count(*) FILTER (NOT kept) AS n_removed, count(DISTINCT CASE WHEN kept AND k <> '' THEN k END) AS n_distinct FROM r JOIN documents USING (doc_id) GROUP BY lang")
 def d5_corpus_line_dedup_stats(spark, sf_dir):
     """Lines of each language kept and removed by corpus-wide dedup."""
-    docs = _lined(spark, sf_dir)
-    lined = dedup.keyed_lines(docs)
-    kept = dedup.first_lines(lined).groupBy("doc_id").agg(F.count("*").alias("first"))
-    total = lined.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("h").alias("full"))
-    both = docs.select("doc_id", "lang").join(total, "doc_id").join(kept, "doc_id", "left").withColumn("first", F.coalesce("first", F.lit(0)))
-    return both.groupBy("lang").agg(
-        F.sum("n").alias("n_lines"), F.sum(F.col("n") - F.col("full") + F.col("first")).alias("n_kept"), F.sum(F.col("full") - F.col("first")).alias("n_removed"), F.sum("first").alias("n_distinct")
-    )
+    return dedup.line_dedup_stats(_lined(spark, sf_dir), "lang")
 
 
 @query(f"""WITH l AS (SELECT doc_id, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
