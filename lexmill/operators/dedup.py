@@ -130,3 +130,28 @@ def drop_similar(vectors: DataFrame, pairs: DataFrame, id_col: str = "vec_id") -
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def dedup_chunks(docs: DataFrame, vectors: DataFrame, threshold: float, key=U.line_key, chunk_words: int = 512) -> DataFrame:
+    """(doc_id, text, n_lines, n_kept, n_chunks, n_similar): exact line dedup, then similar chunks.
+
+    ``vectors`` (doc_id, chunk, embedding) are the embeddings of each document's chunks after
+    the line dedup. Chunks are compared within their document; a text of several chunks comes
+    back with its remaining chunks joined by blanks, as one line.
+    """
+    lined = dedup_corpus_lines(docs, key)
+    chunks = lined.select("doc_id", F.posexplode(T.word_chunks(F.col("text"), chunk_words)).alias("chunk", "piece"))
+    v = vectors.select("doc_id", "chunk", F.col("embedding").cast("array<double>").alias("e"))
+    a, b = v.toDF("doc_id", "i", "x"), v.toDF("doc_id", "j", "y")
+    norm = F.sqrt(dot(F.col("x"), F.col("x"))) * F.sqrt(dot(F.col("y"), F.col("y")))
+    alike = a.join(b, "doc_id").where("i < j").where(F.when(norm > 0, dot(F.col("x"), F.col("y")) / norm).otherwise(0.0) >= threshold)
+    gone = alike.select("doc_id", F.col("j").alias("chunk")).distinct().withColumn("gone", F.lit(True))
+    marked = chunks.join(gone, ["doc_id", "chunk"], "left")
+    kept = F.array_sort(F.collect_list(F.when(F.col("gone").isNull(), F.struct("chunk", "piece"))))
+    joined = marked.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.count("gone").alias("n_similar"), F.array_join(F.transform(kept, lambda s: s.piece), " ").alias("joined"))
+    several = F.col("n_chunks") > 1
+    out = lined.join(joined, "doc_id", "left")
+    return out.select(
+        "doc_id", F.when(several, F.col("joined")).otherwise(F.col("text")).alias("text"), "n_lines", "n_kept",
+        F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.when(several, F.col("n_similar")).otherwise(0).alias("n_similar"),
+    )

@@ -101,3 +101,18 @@ def test_cleaner_on_empty_and_null(spark):
     assert got[1].cleaned == got[2].cleaned == "" and got[1].stats.compression_ratio == 0.0
     assert got[3].cleaned == "A line that is long enough\n" and got[3].stats.duplicates_removed == 1
     assert cleaning.cleaning_summary(cleaning.clean_documents(docs.limit(0))).first().total_documents == 0
+
+
+def test_dedup_chunks(spark):
+    ship(spark)
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "x y\nz")], "doc_id int, text string")
+    vectors = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, [0.0, 1.0]), (1, 2, [2.0, 0.1]), (2, 0, [1.0, 0.0]), (2, 1, [1.0, 0.0])], "doc_id int, chunk int, embedding array<double>")
+    got = {r.doc_id: (r.text, r.n_chunks, r.n_similar) for r in dedup.dedup_chunks(docs, vectors, 0.9, chunk_words=2).collect()}
+    assert got == {1: ("a b c d", 3, 1), 2: ("x y", 2, 1)}
+
+
+def test_line_stats(spark):
+    ship(spark)
+    docs = spark.createDataFrame([(1, "a\n\nb", "en"), (2, "A\nc\nc", "de"), (3, "c", None)], "doc_id int, text string, lang string")
+    got = {r.lang: (r.n_lines, r.n_kept, r.n_removed, r.n_distinct) for r in dedup.line_dedup_stats(docs, "lang").collect()}
+    assert got == {"en": (3, 3, 0, 2), "de": (3, 1, 2, 1), None: (1, 0, 1, 0)}
