@@ -8,15 +8,18 @@ as deep as it has to in crowded regions (copies of one text), while in thin ones
 ``LEAST_DEPTH`` common values make a candidate.
 
 Candidates are confirmed on full shingle sets in two passes. The first confirms, for every
-document, its best candidate and the smallest id of its region, and joins what is
-linked. The second confirms every other candidate whose ends are still apart. So every
-candidate is either confirmed, refuted or already known to be in the same component, and a
-group of thousands of copies costs about as many confirmations as it has members.
-
-Orders are cut by range partitioning on the whole key, so a region with a third of all
-documents spreads over many tasks. Pairs across the cut of one order are neighbours in the
-others. The chance that a pair at the threshold shares no region in any tree is about
-(1 - 0.85**4)**16, less than one in 100,000.
+document, its best candidate and its smallest one, and joins what is linked. The second
+confirms every other candidate whose ends are still apart. So every candidate is either
+confirmed, refuted or already known to be in the same component, and a group of thousands of
+copies costs about as many confirmations as it has members.
+
+The orders propose neighbours, the smallest id and the most central member of a region, which
+joins most groups. What they leave is looked at exactly: in every region whose members are
+still in different components, all pairs of members from different components meet with their
+full sets, in blocks of ``BLOCK`` members, and only links leave a block. Regions are found by
+their key, so neither crowding nor the cuts of the range partitioning lose a pair. The chance that a pair
+at the threshold shares no region in any tree is about (1 - 0.85**4)**16, less than one in
+100,000.
 
 Defined results: words are split at blank and \\t-\\r and lower-cased in A-Z; a text of fewer
 than ``SHINGLE`` words has one shingle, all its words; null and empty texts have none and
@@ -47,6 +50,8 @@ LEAST_DEPTH = 4
 #: Neighbours looked at on either side in each order.
 NEAR = 8
 VALUES = TREES * DEPTH
+#: Members of a region that meet at once in the exact pass.
+BLOCK = 256
 #: Agreeing values (of all) below which a pair at the threshold is out of the question:
 #: more than five standard deviations below the mean of 54.
 LEAST_AGREE = 39
@@ -115,6 +120,12 @@ def _orders(reps: DataFrame, kind: str) -> DataFrame:
     return reps.select("doc_id", "n_shingles", "sig").mapInArrow(run, f"tree int, label binary, doc_id {kind}, n bigint")
 
 
+def _central(label: np.ndarray) -> int:
+    """The row whose bytes are the most common ones of their columns: the middle of a group."""
+    cell = label + 256 * np.arange(label.shape[1])
+    return int(np.bincount(cell.ravel(), minlength=256 * label.shape[1])[cell].sum(1).argmax())
+
+
 def _neighbours(orders: DataFrame, kind: str) -> DataFrame:
     """(a, b, agree): candidate pairs from sorted runs; rows arrive in tree and label order."""
     width = 4 * DEPTH + VALUES - DEPTH
@@ -147,6 +158,8 @@ def _neighbours(orders: DataFrame, kind: str) -> DataFrame:
             size = np.bincount(run_no)[run_no]
             x = np.flatnonzero(size > NEAR + 1)
             add(least[run_no[x] - run_no[0]], x)
+            for members in np.split(x, np.flatnonzero(np.diff(run_no[x])) + 1) if len(x) else ():
+                add(np.full(len(members), members[_central(label[members])]), members)
         a, b, g = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3))
         return a, b, g
 
@@ -159,18 +172,122 @@ def _neighbours(orders: DataFrame, kind: str) -> DataFrame:
             tree = batch.column(0).to_numpy()
             label = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(m, width)
             block = [tree, label, batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy()]
-            if held:  # the last region of the batch before goes on; of a long one its end and its smallest id
+            if held:  # the last region of the batch before goes on; of a long one its end, smallest id and center
                 block = [np.concatenate([h, x]) for h, x in zip(held, block, strict=True)]
             a, b, g = pairs(*block)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(g.astype(np.int32))], ["a", "b", "agree"])
             last = (block[0] == block[0][-1]) & (block[1][:, : 4 * LEAST_DEPTH] == block[1][-1, : 4 * LEAST_DEPTH]).all(1)
             members = np.flatnonzero(last)
-            keep = np.unique(np.concatenate([[members[np.argmin(block[2][members])]], members[-NEAR:]]))
+            center = members[_central(block[1][members])]
+            keep = np.unique(np.concatenate([[members[np.argmin(block[2][members])], center], members[-NEAR:]]))
             held = [x[keep] for x in block]
 
     return orders.mapInArrow(run, f"a {kind}, b {kind}, agree int")
 
 
+def _regions(reps: DataFrame, kind: str) -> DataFrame:
+    """(region, doc_id): the regions of at least two representatives and their members.
+
+    A region is a tree and the ``LEAST_DEPTH`` leading values of its members there.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = len(batch)
+            if not n:
+                continue
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, VALUES)
+            for t in range(TREES):
+                head = np.roll(sig, -t * DEPTH, axis=1)[:, :LEAST_DEPTH]
+                key = np.ascontiguousarray(np.concatenate([np.full((n, 1), t, np.uint32), head], axis=1))
+                packed = pa.Array.from_buffers(pa.binary(4 * LEAST_DEPTH + 4), n, [None, pa.py_buffer(key.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([packed, batch.column(0)], ["region", "doc_id"])
+
+    keyed = reps.select("doc_id", "sig").mapInArrow(run, f"region binary, doc_id {kind}")
+    shared = keyed.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").select("region")
+    return keyed.join(shared, "region")
+
+
+def _apart(regions: DataFrame, reps: DataFrame, sets: DataFrame, known: DataFrame, kind: str, block: int = BLOCK) -> DataFrame:
+    """(a, b): links between members of a region that are in different components.
+
+    The largest component of a region needs no pairs of its own, so its blocks meet only the
+    blocks of the others; those meet each other too. A pair is looked at in its first common
+    tree; what a block has linked is one component in it from then on.
+    """
+    named = regions.join(known.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("region", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    parts = named.groupBy("region", "c").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = mixed.select("region", F.col("top.c").alias("main"), F.ceil(F.col("top.n") / block).alias("nm"), F.ceil((F.col("n") - F.col("top.n")) / block).alias("nk"))
+    inside = F.col("c") == F.col("main")
+    members = named.join(mixed, "region").withColumn("own", F.when(inside, F.pmod(F.xxhash64("doc_id"), "nm")).otherwise(F.col("nm") + F.pmod(F.xxhash64("doc_id"), "nk")))
+    members = members.join(reps.select("doc_id", "sig"), "doc_id").join(sets, "doc_id")
+    meets = members.withColumn("other", F.explode(F.sequence(F.when(inside, F.col("nm")).otherwise(F.lit(0)), F.col("nm") + F.col("nk") - 1)))
+    dealt = meets.select("region", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "c", "sig", "shingles")
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        lo, hi, own, ids, c = (rows.column(k).to_numpy() for k in ("lo", "hi", "own", "doc_id", "c"))
+        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint32).reshape(len(ids), VALUES)
+        shingles = rows.column("shingles").combine_chunks()
+        flat = shingles.flatten().to_numpy()
+        n = shingles.value_lengths().to_numpy()
+        at = np.append(0, np.cumsum(n))
+        region = rows.column("region").to_pylist()
+        new = np.ones(len(ids), bool)
+        new[1:] = [x != y for x, y in zip(region[1:], region[:-1], strict=True)]
+        new[1:] |= (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+        edges = np.append(np.flatnonzero(new), len(ids))
+        a, b = [], []
+        for s, e in zip(edges[:-1], edges[1:], strict=True):
+            tree = int.from_bytes(region[s][:4], "little")
+            local, group = None, c[s:e].copy()
+            for x in range(s, e):
+                y = np.arange(x + 1, e)
+                y = y[(group[y - s] != group[x - s]) & ((lo[x] == hi[x]) | (own[y] != own[x]))]
+                y = y[100 * np.minimum(n[y], n[x]) >= PERCENT * np.maximum(n[y], n[x])]
+                equal = sig[y] == sig[x]
+                near = (equal.sum(1) >= LEAST_AGREE) & (equal.reshape(-1, TREES, DEPTH).all(2).argmax(1) == tree)
+                y = y[near]
+                if not len(y):
+                    continue
+                if local is None:
+                    names, local = np.unique(flat[at[s] : at[e]], return_inverse=True)
+                    mark = np.zeros(len(names), bool)
+                mine = local[at[x] - at[s] : at[x + 1] - at[s]]
+                mark[mine] = True
+                others = np.concatenate([local[at[i] - at[s] : at[i + 1] - at[s]] for i in y])
+                shared = np.add.reduceat(mark[others].astype(np.int64), np.append(0, np.cumsum(n[y])[:-1]))
+                mark[mine] = False
+                for i in y[100 * shared >= PERCENT * (n[x] + n[y] - shared)]:
+                    if group[i - s] != group[x - s]:
+                        group[group == group[i - s]] = group[x - s]
+                        a.append(min(ids[x], ids[i]))
+                        b.append(max(ids[x], ids[i]))
+        return pa.RecordBatch.from_arrays([pa.array(a, rows.schema.field("doc_id").type), pa.array(b, rows.schema.field("doc_id").type)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = pa.Table.from_batches([batch])
+            if held is not None:
+                rows = pa.concat_tables([held, rows])
+            # the last block of the batch may go on
+            last = [rows.column(k)[-1] for k in ("region", "lo", "hi")]
+            at = len(rows)
+            while at and [rows.column(k)[at - 1] for k in ("region", "lo", "hi")] == last:
+                at -= 1
+            if at:
+                yield links(rows.slice(0, at))
+            held = rows.slice(at)
+        if held is not None:
+            yield links(held)
+
+    keys = ("region", "lo", "hi")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, shingles): full sets of the wanted documents.
 
@@ -208,7 +325,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ordered = _orders(reps, kind).repartitionByRange("tree", "label", "doc_id").sortWithinPartitions("tree", "label", "doc_id")
     pairs = _neighbours(ordered, kind).groupBy("a", "b").agg(F.max("agree").alias("agree"))
     pairs = materialise(pairs, "pairs")
-    sets = materialise(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "sets")
+    regions = materialise(_regions(reps, kind), "regions")
+    sets = materialise(_sets(docs, regions.select("doc_id").distinct()), "sets")
     # first pass: everyone's best candidate, and its smallest
     ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "agree").unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "agree"))
     best = ends.groupBy("x").agg(F.max(F.struct(F.col("agree"), -F.col("y"))).alias("m"), F.min("y").alias("least")).select("x", F.explode(F.array_distinct(F.array(-F.col("m.col2"), F.col("least")))).alias("y"))
@@ -219,8 +337,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     side = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     rest = pairs.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    links = links.unionByName(_confirmed(rest, sets))
-    member = components(links)
+    links = materialise(links.unionByName(_confirmed(rest, sets)), "links")
+    # exact pass: members of a region in different components
+    late = _apart(regions, reps, sets, materialise(components(links), "known"), kind)
+    member = components(links.unionByName(late))
     classes = reps.select("k1", "k2", F.col("doc_id").alias("rep")).join(member.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("c"))
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id"))

@@ -102,6 +102,41 @@ def test_near_duplicates_odd_tables(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def _star(n, at):
+    """A text with id ``at`` and ``n`` copies with three edits each, every one near the text alone."""
+    rng = random.Random(11)
+    text = [f"w{i}" for i in range(200)]
+    copies = []
+    for i in range(n):
+        t = list(text)
+        for j, place in enumerate(rng.sample(range(1, 38), 3)):
+            t[place * 5] = f"own{i}x{j}"
+        copies.append(" ".join(t))
+    ids = [i for i in range(n + 1) if i != at]
+    return [(at, " ".join(text)), *zip(ids, copies, strict=True)]
+
+
+def test_near_duplicates_join_a_star(spark):
+    rows = _star(300, 150)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+    assert {v[1] for v in got.values()} == {0}
+
+
+def test_exact_pass_links_what_the_orders_left(spark):
+    docs = spark.createDataFrame(_star(120, 60), "doc_id long, text string")
+    reps = minhash.materialise(minhash._signed(docs).select("doc_id", "n_shingles", "sig"), "reps")
+    regions = minhash.materialise(minhash._regions(reps, "bigint"), "regions")
+    sets = minhash.materialise(minhash._sets(docs, regions.select("doc_id").distinct()), "sets")
+    # ids below 20 are one component already
+    known = spark.createDataFrame([(i, 0) for i in range(20)], "node long, component long")
+    for block in (7, 256):
+        late = minhash._apart(regions, reps, sets, known, "bigint", block)
+        whole = late.unionByName(known.selectExpr("component as a", "node as b"))
+        assert {r.component for r in components.components(whole).collect()} == {0}
+        assert {r.a for r in late.collect()} | {r.b for r in late.collect()} >= {60, *range(20, 121)}
+
+
 def test_components(spark):
     random.seed(5)
     edges = [(random.randint(0, 200), random.randint(0, 200)) for _ in range(110)] + [(300, 300 + i) for i in range(200)] + [(None, 1)]
