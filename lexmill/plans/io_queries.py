@@ -88,7 +88,7 @@ def f11_f12_k7_k10_token_stats(spark, sf_dir):
     """Characters, tokens, ratio and vocabulary of the corpus, written as a token table and read again."""
     path = _place(spark, "tokens")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    sinks.write_tokens(vocabulary.encode(docs, _vocabulary_path(), max_length=100_000), path)
+    sinks.write_tokens(vocabulary.encode(docs, _vocabulary_path()), path)
     t = spark.read.parquet(path)
     size = docs.agg(F.sum(F.length("text")).alias("chars"))
     used = t.agg(F.sum(F.size("tokens")).alias("tokens"), F.avg(F.size("tokens")).alias("mean"), (F.max(F.array_max("tokens")) + 1).alias("vocab_size"))
