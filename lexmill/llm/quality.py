@@ -4,13 +4,13 @@ Two multinomials over 2**BITS hashed word uni- and bigrams are counted, one from
 documents and one from all documents. A document's score is the sum of
 log p_target - log p_raw over its n-grams, divided by their number, and every document
 scoring below a fixed threshold is dropped, in every run alike. The target is shrunk
-towards the raw distribution, so n-grams without evidence score near zero.
+towards the raw distribution with ``PRIOR`` of the corpus's n-grams as pseudo-counts, so n-grams
+without evidence score near zero and the shrinkage is the same at every size.
 
 Beside it stand the base rules: word and character counts, symbols, repeated lines and
 repeated 3-word windows.
 
-The trusted rows are at most ``target_rows`` ids (a documented bound; chosen by a hash of
-the id); the raw counts come from every document.
+Every trusted row counts in the target and every document in the raw counts.
 
 Defined results: null and empty texts have no words, fail the base rules and are dropped;
 rows with equal ids are judged one by one; without trusted rows every score is 0.
@@ -29,9 +29,11 @@ from lexmill.llm import kernels as K
 from lexmill.session import ship
 
 #: Hash buckets of the n-grams.
-BITS = 16
-#: Most trusted documents in the target.
-TARGET_ROWS = 12_000
+BITS = 22
+#: Buckets whose counts are packed and merged at once.
+BLOCK = 1 << 16
+#: Pseudo-counts of the target as a share of the n-grams of the corpus.
+PRIOR = 0.5
 #: Mean log-likelihood ratio below which a document is dropped.
 THRESHOLD = -0.12
 #: Base rules: fewest words, and percent of words in repeated windows.
@@ -101,14 +103,26 @@ def _repeats(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return twice, later
 
 
-def train(docs: DataFrame, trusted: DataFrame, bits: int = BITS, target_rows: int = TARGET_ROWS) -> np.ndarray:
+def _pack(x: np.ndarray) -> bytes:
+    """Counts as compressed byte planes; most of their bytes are zero."""
+    return pa.compress(x.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(np.int64).ravel()
+
+
+def train(docs: DataFrame, trusted: DataFrame, bits: int = BITS) -> np.ndarray:
     """Log-likelihood ratio of every bucket: target ``trusted`` (doc_id) against all ``docs``.
 
-    Every task adds up its own rows, the sums of the tasks are merged by a keyed
-    aggregation, and 2**bits pairs of numbers come to the driver.
+    Every task adds up its own rows and writes its sums in packed blocks of buckets; the blocks
+    of all tasks are added up by key, and 2**bits pairs of numbers come to the driver. The trusted ids grow with the
+    corpus, so texts and ids are dealt by id.
     """
     ship(docs.sparkSession)
-    chosen = trusted.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows)
+    block = min(BLOCK, 1 << bits)
+    chosen = trusted.where("doc_id is not null").select("doc_id").distinct().withColumn("mark", F.lit(True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
@@ -117,16 +131,23 @@ def train(docs: DataFrame, trusted: DataFrame, bits: int = BITS, target_rows: in
             data, offsets = K.buffers(batch.column(0))
             for a, b, d, o in K.slices(data, offsets):
                 bucket, row, _ = ngrams(d, o, bits)
-                raw += np.bincount(bucket, minlength=1 << bits)
-                target += np.bincount(bucket[mark[a:b][row]], minlength=1 << bits)
-        seen = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(raw[seen]), pa.array(target[seen])], ["bucket", "raw", "target"])
-
-    marked = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen.withColumn("mark", F.lit(True))), "doc_id", "left").select("text", F.coalesce("mark", F.lit(False)).alias("mark"))
-    rows = marked.mapInArrow(run, "bucket int, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+                np.add.at(raw, bucket, 1)
+                np.add.at(target, bucket[mark[a:b][row]], 1)
+        parts = [(i, raw[i : i + block], target[i : i + block]) for i in range(0, 1 << bits, block)]
+        parts = [x for x in parts if x[1].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in parts], pa.int32()), *(pa.array([_pack(x[k]) for x in parts], pa.binary()) for k in (1, 2))], ["at", "raw", "target"])
+
+    def merge(rows: pa.Table) -> pa.Table:
+        total = [pa.array([sum(_unpack(x, block) for x in rows.column(k).to_pylist()).tobytes()], pa.binary()) for k in ("raw", "target")]
+        return pa.Table.from_arrays([rows.column("at").slice(0, 1), *total], ["at", "raw", "target"])
+
+    marked = docs.select("doc_id", F.col("text").cast("string")).join(chosen.hint("shuffle_hash"), "doc_id", "left").select("text", F.coalesce("mark", F.lit(False)).alias("mark"))
+    kind = "at int, raw binary, target binary"
+    rows = marked.mapInArrow(run, kind).groupBy("at").applyInArrow(merge, kind).toArrow().to_pylist()
     raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
-    raw[rows.column("bucket").to_numpy()] = rows.column("raw").to_numpy()
-    target[rows.column("bucket").to_numpy()] = rows.column("target").to_numpy()
+    for r in rows:
+        raw[r["at"] : r["at"] + block] = np.frombuffer(r["raw"], np.int64)
+        target[r["at"] : r["at"] + block] = np.frombuffer(r["target"], np.int64)
     return ratio(raw, target)
 
 
@@ -135,7 +156,8 @@ def ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     if not raw.sum() or not target.sum():
         return np.zeros(len(raw))
     p = (raw + 1) / (raw.sum() + len(raw))
-    t = (target + len(raw) * p) / (target.sum() + len(raw))
+    prior = PRIOR * raw.sum()
+    t = (target + prior * p) / (target.sum() + prior)
     return np.log(t) - np.log(p)
 
 
@@ -162,6 +184,6 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
     return source.mapInArrow(run, f"doc_id {kind}, {', '.join(f'{c} bigint' for c in names)}, score double, base_failed boolean, kept boolean")
 
 
-def quality(docs: DataFrame, trusted: DataFrame, target_rows: int = TARGET_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Train on ``trusted`` (doc_id) against all ``docs`` and judge every row of ``docs``."""
-    return score(docs, train(docs, trusted, target_rows=target_rows), threshold)
+    return score(docs, train(docs, trusted), threshold)
