@@ -11,7 +11,9 @@ of redirects. Urls of the same node need no edge.
 
 Defined results: null and urls without ``://`` have an empty host and path, fit no rule and
 are allowed; rows with equal ids or urls are judged one by one; null html has no edges;
-relative and empty targets are no edges; other columns are ignored.
+targets are resolved against the page's url after their character references are decoded (a
+``base`` element is not read); empty ones, mere fragments and other schemes without ``://``
+are no edges; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -68,16 +70,81 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.concat(*found)
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+#: Named character references of markup; &amp; is decoded last.
+_NAMED = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"))
+
+
+def unescape(c: Column) -> Column:
+    """``c`` with numeric and the five basic named character references decoded once."""
+
+    def decoded(part: Column) -> Column:
+        hexed, digits = F.regexp_extract(part, r"\A[xX]([0-9A-Fa-f]{1,6});", 1), F.regexp_extract(part, r"\A([0-9]{1,7});", 1)
+        code = F.when(hexed != "", F.conv(hexed, 16, 10)).when(digits != "", digits).cast("long")
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        # only a valid code reaches the decoder
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(F.lit(63))), 8, "0")), "UTF-32")
+        # an ampersand from a number starts no named reference
+        char = F.when(char == "&", F.lit("&amp;")).otherwise(char)
+        return F.when(valid, F.concat(char, F.regexp_replace(part, r"\A[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), part))
+
+    out = _let(F.split(c, "&#"), lambda parts: F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), decoded), "")))
+    for name, char in (*_NAMED, ("&amp;", "&")):
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return out
+
+
+def _no_dots(name: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments."""
+    return _let(F.split(name, "/"), lambda parts: _joined(F.slice(parts, 2, F.size(parts))))
+
+
+def _joined(parts: Column) -> Column:
+    tail = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x))),
+    )
+    return F.concat(F.lit("/"), F.array_join(F.concat(kept, tail), "/"))
+
+
+def resolve(target: Column, url: Column) -> Column:
+    """The absolute url that ``target`` means on the page ``url``; null if it names no other page."""
+    return _let(F.regexp_replace(target, r"\A[\x00-\x20]+|[\x00-\x20]+\z", ""), lambda t: _resolved(t, url))
+
+
+def _resolved(t: Column, url: Column) -> Column:
+    scheme = F.substring_index(url, "://", 1)
+    place = F.concat(scheme, F.lit("://"), F.regexp_extract(_rest(url), r"\A[^/?#]*", 0))
+    own = F.when(path(url) == "", F.lit("/")).otherwise(path(url))
+    name = F.regexp_extract(t, r"\A[^?#]*", 0)
+    query = F.substring(t, F.length(name) + 1, F.length(t))
+    whole = F.when(t.startswith("/"), name).otherwise(F.concat(F.regexp_extract(own, r"\A.*/", 0), name))
+    return (
+        F.when((t == "") | t.startswith("#"), F.lit(None).cast("string"))
+        .when(t.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), t)
+        .when(t.startswith("//"), F.concat(scheme, F.lit(":"), t))
+        .when(t.startswith("?"), F.concat(place, own, t))
+        .otherwise(F.concat(place, _no_dots(whole), query))
+    )
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
     """(a, b): canonical links and refresh redirects of the pages, as nodes."""
     tags = (
         pages.where(F.col("url").isNotNull() & (F.col("html").rlike(r"(?i)canonical") | F.col("html").rlike(r"(?i)http-equiv")))
         .select("url", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("tag"))
     )
-    canonical = F.when(F.lower(_attribute(F.col("tag"), "rel")) == "canonical", _attribute(F.col("tag"), "href"))
-    refresh = F.when(F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh", F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?is)url\s*=\s*['\"]?([^'\"\s]+)", 1))
-    target = F.coalesce(canonical, refresh)
-    return tags.select(node(F.col("url")).alias("a"), node(target).alias("b")).where("a is not null and b is not null and a <> b")
+    rel = F.split(F.lower(_attribute(F.col("tag"), "rel")), r"\s+")
+    canonical = F.when(F.array_contains(rel, "canonical"), unescape(_attribute(F.col("tag"), "href")))
+    refresh = F.when(F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh", F.regexp_extract(unescape(_attribute(F.col("tag"), "content")), r"(?is)url\s*=\s*['\"]?([^'\"\s]+)", 1))
+    target = resolve(F.coalesce(canonical, refresh), F.col("url"))
+    return tags.select(node(F.col("url")).alias("a"), _let(target, node).alias("b")).where("a is not null and b is not null and a <> b")
 
 
 def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
