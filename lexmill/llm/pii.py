@@ -102,10 +102,10 @@ PLAIN_WORDS = ("version", "license", "licence", "copyright", "isbn", "page", "ch
 _CANDIDATES = (
     (0, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{1,63})+")),
     (3, re.compile(r"(?<![0-9+.-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])")),
-    (4, re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{8,32}(?![A-Za-z0-9])")),
-    (4, re.compile(r"(?<![A-Za-z0-9])(?:gh[opsu]_|glpat-|sk_live_|sk_test_|xox[bp]-|AIza|eyJ)[A-Za-z0-9_.-]{8,200}")),
-    (4, re.compile(r"(?<![A-Za-z0-9_])(?i:password|passwd|pwd|token|secret|api_?key)(?: ?[=:] ?)\"?([^\s\"']{6,200})")),
-    (4, re.compile(r"(?<![A-Za-z0-9])[0-9a-f]{32,128}(?![A-Za-z0-9])")),
+    (4, re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{8,}+(?![A-Za-z0-9])")),
+    (4, re.compile(r"(?<![A-Za-z0-9])(?:gh[opsu]_|glpat-|sk_live_|sk_test_|xox[bp]-|AIza|eyJ)[A-Za-z0-9_.-]{8,}+")),
+    (4, re.compile(r"(?<![A-Za-z0-9_])(?i:password|passwd|pwd|token|secret|api_?key)(?: ?[=:] ?)\"?([^\s\"']{6,}+)")),
+    (4, re.compile(r"(?<![A-Za-z0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])")),
 )
 _DIGIT = re.compile(r"[0-9]")
 _DOT = re.compile(r"[(\[ ]dot[)\] ]")
@@ -116,9 +116,9 @@ _HINTS = (
     lambda t, digit: "dot" in t and _DOT.search(t),
     lambda t, digit: digit,
     lambda t, digit: "AKIA" in t or "ASIA" in t,
-    lambda t, digit: digit and any(k in t for k in ("gho_", "ghp_", "ghs_", "ghu_", "glpat-", "sk_live_", "sk_test_", "xoxb-", "xoxp-", "AIza", "eyJ")),
+    lambda t, digit: any(k in t for k in ("gho_", "ghp_", "ghs_", "ghu_", "glpat-", "sk_live_", "sk_test_", "xoxb-", "xoxp-", "AIza", "eyJ")),
     lambda t, digit: ("=" in t or ":" in t) and _SECRET_NAME.search(t),
-    lambda t, digit: digit,
+    lambda t, digit: True,
 )
 
 
