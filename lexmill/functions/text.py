@@ -9,17 +9,21 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import patterns as P
 
-LETTERS = r"[^\p{L}]"
+LETTERS = r"[^\p{L}]+"
+
+
+#: Every character that is white space (a fixed value).
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
     """Without outer white space of any kind."""
-    return F.regexp_replace(c, r"(?Ud)\A\s+|\s+\z", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def collapse(c: Column) -> Column:
-    """Every run of white space becomes one blank."""
-    return F.regexp_replace(c, r"(?U)\s+", " ")
+    """Every run of white space becomes one blank; single blanks are left alone."""
+    return F.regexp_replace(c, f" [{WHITE}]+|[{WHITE.replace(' ', '')}][{WHITE}]*", " ")
 
 
 def lines(c: Column) -> Column:
@@ -133,7 +137,7 @@ def mask_structured(c: Column) -> Column:
 
 def fold_line(c: Column, preserve_case: bool = False) -> Column:
     """Line key of text that is NFKC and free of entities already."""
-    return strip(collapse(c if preserve_case else F.lower(c)))
+    return F.trim(collapse(c if preserve_case else F.lower(c)))
 
 
 def semantic_fold(line_key: Column, preserve_numbers: bool = False) -> Column:

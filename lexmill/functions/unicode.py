@@ -53,6 +53,15 @@ def compatible(c: Column) -> Column:
     return _guarded(c, NFKC_TRIGGER, lambda s: html.unescape(unicodedata.normalize("NFKC", s)))
 
 
+def _compatible_lines(s: str) -> str:
+    return "\n".join(html.unescape(unicodedata.normalize("NFKC", x)).replace("\n", " ") for x in s.split("\n"))
+
+
+def compatible_lines(c: Column) -> Column:
+    """``compatible`` on every line of a text; a text that needs it goes to Python once."""
+    return _guarded(c, NFKC_TRIGGER, _compatible_lines)
+
+
 def line_key(c: Column, preserve_case: bool = False) -> Column:
     """The key under which two lines are equal."""
     return fold_line(compatible(F.coalesce(c, F.lit(""))), preserve_case)

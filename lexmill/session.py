@@ -13,16 +13,32 @@ from pyspark.sql import DataFrame, SparkSession
 _PACKAGE = Path(__file__).resolve().parent
 
 
+#: Bytes of a table from which it pays to deal it to all cores.
+SPREAD_BYTES = 4 << 20
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of ``sf_dir``, read by Spark alone so that any store works."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """``table`` dealt to all cores if it comes in fewer splits, as a single row group does.
+
+    Large tables have more splits than cores and are never shuffled here; columns and filters
+    are still pushed into the scan.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SPREAD_BYTES or table.rdd.getNumPartitions() >= cores:
+        return table
+    return table.repartition(cores)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir``; where that is unset (tests, local mode) a local
-    temporary folder is made once and set on the context.
+    It is ``spark.checkpoint.dir``; where that is unset in local mode (tests) a local temporary
+    folder is made once and set on the context. On a cluster it must be set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -30,6 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get().rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexmill-"))
     return jsc.getCheckpointDir().get().rstrip("/")
 
