@@ -97,10 +97,25 @@ def check(c: Config) -> None:
             raise ConfigError(key, message)
 
 
+def _yaml():
+    try:
+        import yaml
+    except ImportError as missing:
+        raise ConfigError("file", "YAML files need the yaml package") from missing
+    return yaml
+
+
 def load(path: str, preset: str = "default") -> Config:
-    """From a JSON file on the driver."""
-    return build(json.loads(Path(path).read_text(encoding="utf-8")), preset)
+    """From a JSON or YAML file on the driver, by its suffix."""
+    text = Path(path).read_text(encoding="utf-8")
+    values = _yaml().safe_load(text) if path.lower().endswith((".yaml", ".yml")) else json.loads(text)
+    if not isinstance(values or {}, dict):
+        raise ConfigError("file", "must hold sections")
+    return build(values, preset)
 
 
 def save(config: Config, path: str) -> None:
-    Path(path).write_text(json.dumps(asdict(config), indent=2) + "\n", encoding="utf-8")
+    """To a JSON or YAML file, by its suffix."""
+    tree = json.loads(json.dumps(asdict(config)))
+    text = _yaml().safe_dump(tree, sort_keys=False) if path.lower().endswith((".yaml", ".yml")) else json.dumps(tree, indent=2) + "\n"
+    Path(path).write_text(text, encoding="utf-8")

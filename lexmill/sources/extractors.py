@@ -1,8 +1,7 @@
 """Text from file contents: a registry of extractors by suffix, on the standard library alone.
 
-An extractor takes bytes and returns text or None. ``register`` adds or replaces one; PDF and
-OCR engines aren't part of the standard library, so their suffix is served only once a
-caller has registered one.
+An extractor takes bytes and returns text or None. ``register`` adds or replaces one, for
+example a PDF reader with OCR, whose engine is not part of the standard library.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 from lexmill.functions.patterns import DROPPED_TAGS, MARKDOWN, MARKDOWN_REST
+from lexmill.sources.pdf import page_texts
 
 Extractor = Callable[[bytes], str | None]
 EXTRACTORS: dict[str, Extractor] = {}
@@ -32,9 +32,9 @@ def register(*suffixes: str) -> Callable[[Extractor], Extractor]:
 
 
 def decode(content: bytes) -> str:
-    """UTF-8, else Latin-1 (which never fails); every line end becomes \\n."""
+    """UTF-8 without its mark, else Latin-1 (which never fails); every line end becomes \\n."""
     try:
-        text = content.decode("utf-8")
+        text = content.decode("utf-8-sig")
     except UnicodeDecodeError:
         text = content.decode("iso-8859-1")
     return text.replace("\r\n", "\n").replace("\r", "\n")
@@ -141,11 +141,27 @@ def epub(content: bytes) -> str | None:
     return "\n\n".join(t for t in texts if t)
 
 
-def extract(suffix: str, content: bytes | None) -> tuple[str | None, str | None]:
-    """(text, error): never raises, so one broken file costs one row."""
+@register(".pdf")
+def pdf(content: bytes) -> str | None:
+    """Pages with text, an empty line between them; scanned pages have none."""
+    return "\n\n".join(t for t in page_texts(content) if t.strip())
+
+
+def processor_name(suffix: str) -> str | None:
+    """Name of the extractor that serves a suffix, None if there is none."""
+    found = EXTRACTORS.get(suffix.lower())
+    return found.__name__ if found else None
+
+
+def extract(suffix: str, content: bytes | None, instead: dict[str, str] | None = None) -> tuple[str | None, str | None]:
+    """(text, error): never raises, so one broken file costs one row.
+
+    ``instead`` names suffixes that are read as another one.
+    """
     if content is None:
         return None, "no content"
-    found = EXTRACTORS.get((suffix or "").lower())
+    suffix = (suffix or "").lower()
+    found = EXTRACTORS.get((instead or {}).get(suffix, suffix))
     if found is None:
         return None, "unsupported format"
     try:
