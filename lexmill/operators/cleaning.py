@@ -44,6 +44,17 @@ def clean_documents(
     return out.withColumn("stats", stats).drop("__raw", "__spaced", "__lines", "__kept")
 
 
+def clean_batch(docs: DataFrame, **options) -> DataFrame:
+    """``clean_documents``, but a text that can't be processed comes back as it is, with counts of
+    zero and ``failed``: bytes that aren't UTF-8 would end the whole job otherwise."""
+    valid = F.col("text").isNull() | F.is_valid_utf8("text")
+    marked = docs.withColumn("__text", F.col("text")).withColumn("failed", ~valid).withColumn("text", F.when(valid, F.col("text")).otherwise(""))
+    out = clean_documents(marked, **options)
+    zero = F.struct(*(F.lit(0).cast(f.dataType).alias(f.name) for f in out.schema["stats"].dataType.fields))
+    bad = F.col("failed")
+    return out.withColumns({"text": F.col("__text"), "cleaned": F.when(bad, F.col("__text")).otherwise(F.col("cleaned")), "stats": F.when(bad, zero).otherwise(F.col("stats"))}).drop("__text")
+
+
 def cleaning_summary(cleaned: DataFrame) -> DataFrame:
     """One row: documents, sums, ratio of sums, MB saved."""
     s = F.col("stats")

@@ -14,7 +14,13 @@ def cleaned(docs: DataFrame, config: Config) -> DataFrame:
     """(doc_id, text): cleaned and without lines seen anywhere before; emptied ones go."""
     c = config.cleaning
     out = cleaning.clean_documents(docs, c.urls, c.emails, c.phones, False, c.min_line, c.max_line, c.dedup).select("doc_id", F.col("cleaned").alias("text"))
-    return dedup.dedup_corpus_lines(out).where(T.strip(F.col("text")) != "").select("doc_id", "text")
+    return dedup.dedup_corpus_lines(out, algorithm=config.dedup.algorithm).where(T.strip(F.col("text")) != "").select("doc_id", "text")
+
+
+def deduplicated(docs: DataFrame, config: Config, embed=dedup.hashed_vectors) -> DataFrame:
+    """Lines seen before and chunks like earlier ones of their text removed, with counts."""
+    d = config.dedup
+    return dedup.dedup_texts(docs, d.similarity, d.chunk_words, embed, d.algorithm)
 
 
 def samples(docs: DataFrame, vocabulary_path: str, config: Config) -> DataFrame:

@@ -96,10 +96,14 @@ def processing_seconds(n_lines: Column, n_files: Column, semantic: bool = False)
 # -- registry -----------------------------------------------------------------------------
 
 
-def list_runs(registry: DataFrame, sort_by: str = "created_at") -> DataFrame:
+def run_order(sort_by: str = "created_at") -> list[Column]:
     """Newest, furthest or (for ``loss``) smallest first; missing losses last; then by name."""
-    order = F.coalesce(F.col("loss"), F.lit(float("inf"))).asc() if sort_by == "loss" else F.col(sort_by).desc()
-    return registry.orderBy(order, F.col("name"))
+    return [F.coalesce(F.col("loss"), F.lit(float("inf"))).asc() if sort_by == "loss" else F.col(sort_by).desc(), F.col("name").asc()]
+
+
+def list_runs(registry: DataFrame, sort_by: str = "created_at") -> DataFrame:
+    """All runs in that order."""
+    return registry.orderBy(*run_order(sort_by))
 
 
 def best_run(registry: DataFrame, metric: str = "loss", smaller: bool = True) -> DataFrame:
@@ -153,6 +157,7 @@ def repetition_penalty(logits: DataFrame, generated: DataFrame, penalty: float,
 
 def sample_tokens(logits: DataFrame, seed: int, row: str = "row") -> DataFrame:
     """One token of each row, drawn by its probability: largest logit plus hashed Gumbel noise."""
-    u = (F.pmod(F.xxhash64(row, "token", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    digest = F.md5(F.concat_ws(":", F.col(row).cast("string"), F.col("token").cast("string"), F.lit(str(seed))))
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     noisy = logits.withColumn("__z", F.col("logit") - F.log(-F.log(u)))
     return noisy.groupBy(row).agg(F.max_by("token", "__z").alias("token"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.session import materialise
+
 
 def window_starts(n: Column, block: int, stride: int | None = None) -> Column:
     """Starts of the samples of ``n`` tokens; a stride of 0 or None means the block."""
@@ -36,9 +38,46 @@ def sample_counts(files: DataFrame, block: int, stride: int | None = None) -> Da
 
 
 def locate_samples(indexes: DataFrame, counted: DataFrame) -> DataFrame:
-    """(idx) -> file and place in it, by the range of offsets each file covers."""
-    ranges = counted.select("file", "offset", (F.col("offset") + F.col("n_samples")).alias("end"))
-    return indexes.join(F.broadcast(ranges), (F.col("idx") >= F.col("offset")) & (F.col("idx") < F.col("end"))).select("idx", "file", (F.col("idx") - F.col("offset")).alias("local_idx"))
+    """(idx) -> file and place in it, by the range of offsets each file covers.
+
+    The line of samples is cut into stretches as long as the mean file; indexes and files meet by
+    the number of the stretch, of which all files together cover at most twice as many as there
+    are files.
+    """
+    full = counted.where("n_samples > 0")
+    width = full.agg(F.greatest(F.coalesce(F.floor(F.sum("n_samples") / F.count("*")), F.lit(1)), F.lit(1)).cast("long").alias("w")).first().w
+    ranges = full.select("file", "offset", (F.col("offset") + F.col("n_samples")).alias("end"))
+    ranges = ranges.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("offset") / width), F.floor((F.col("end") - 1) / width))))
+    placed = indexes.withColumn("stretch", F.floor(F.col("idx") / width)).join(ranges, "stretch")
+    return placed.where((F.col("idx") >= F.col("offset")) & (F.col("idx") < F.col("end"))).select("idx", "file", (F.col("idx") - F.col("offset")).alias("local_idx"))
+
+
+def adapted_block(n_tokens: Column, block: int, least: int = 16) -> Column:
+    """The block size for a corpus of ``n_tokens``: a quarter of it where it is shorter than the block."""
+    return F.greatest(F.lit(least), F.when(n_tokens < block, F.floor(n_tokens / 4)).otherwise(block)).cast("long")
+
+
+def concatenated(rows: DataFrame, by: list[str], order: str, col: str, separator: str | None = None) -> DataFrame:
+    """Per group ``by``: the texts of ``col`` joined in order, or its arrays one behind the other.
+
+    For groups that fit a row; a whole corpus is written by the text sink instead. Nulls are left out.
+    """
+    listed = rows.where(F.col(col).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(col).alias("x")))).alias("__rows"))
+    parts = F.transform("__rows", lambda r: r.x)
+    return listed.select(*by, (F.flatten(parts) if separator is None else F.array_join(parts, separator)).alias(col))
+
+
+def numbered(rows: DataFrame, order: list, name: str = "number") -> DataFrame:
+    """``rows`` with their place in the given order, from 0.
+
+    Rows are dealt by ranges of the order and written once; a row's place is what lies in the
+    ranges before plus its place in its own range, so no task orders more than a range.
+    """
+    dealt = materialise(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ordered")
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    place = F.col("__before") + F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return dealt.join(before, "__part").withColumn(name, place.cast("long")).drop("__part", "__before")
 
 
 def split_sizes(n: Column, ratios: tuple[float, float, float]) -> Column:
@@ -82,13 +121,26 @@ def split_rows(rows: DataFrame, id_col: str, ratios: tuple[float, float, float]
     return placed.withColumn("split", name).drop("__h", "__b", "__c", "__before", "__sizes")
 
 
-def batches(rows: DataFrame, order: list, size: int, drop_last: bool = False) -> DataFrame:
-    """``rows`` with ``batch_id`` in the given order."""
-    numbered = rows.withColumn("batch_id", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("long"))
-    if not drop_last:
-        return numbered
-    full = numbered.groupBy("batch_id").agg(F.count("*").alias("__n")).where(F.col("__n") == size)
-    return numbered.join(F.broadcast(full), "batch_id").drop("__n")
+def shuffled(id_col: str, seed: int) -> list[Column]:
+    """An order that looks random, is the same in every run, and differs by seed."""
+    return [F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(seed).cast("string"))), F.col(id_col)]
+
+
+def batches(rows: DataFrame, order: list, size: int, drop_last: bool = False, by: list[str] | None = None) -> DataFrame:
+    """``rows`` with ``batch_id`` in the given order (see ``shuffled``), within each group ``by`` if given.
+
+    ``drop_last`` leaves out a last batch that isn't full.
+    """
+    if by:
+        placed = rows.withColumn("__at", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+    else:
+        placed = numbered(rows, order, "__at")
+    out = placed.withColumn("batch_id", F.floor(F.col("__at") / size).cast("long"))
+    if drop_last:
+        total = out.groupBy(*(by or [])).agg(F.count("*").alias("__total"))
+        out = out.join(total, by) if by else out.crossJoin(total)  # one row
+        out = out.where((F.col("batch_id") + 1) * size <= F.col("__total")).drop("__total")
+    return out.drop("__at")
 
 
 def early_stopping(values: Column, patience: int, min_delta: float = 0.0) -> Column:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.operators.sequences import numbered
+
 SPECIALS = ("<pad>", "<unk>", "<s>", "</s>")
 PRETOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 
@@ -23,10 +25,16 @@ def frequencies(docs: DataFrame, least: int = 2) -> DataFrame:
 
 def vocabulary(docs: DataFrame, least: int = 2, size: int | None = None) -> DataFrame:
     """(token, freq, id): most frequent first, behind the special tokens."""
-    ranked = frequencies(docs, least).withColumn("id", (F.row_number().over(Window.orderBy(F.col("freq").desc(), "token")) - 1 + len(SPECIALS)).cast("long"))
+    ranked = numbered(frequencies(docs, least), [F.col("freq").desc(), F.col("token")], "id").withColumn("id", F.col("id") + len(SPECIALS))
     return ranked if size is None else ranked.where(F.col("id") < size)
 
 
+def model_rows(ranked: DataFrame) -> DataFrame:
+    """(token, id) of a whole vocabulary, special tokens first, as it is written by the JSON sink."""
+    special = ranked.sparkSession.createDataFrame(list(zip(SPECIALS, range(len(SPECIALS)), strict=True)), "token string, id long")
+    return special.unionByName(ranked.select("token", "id"))
+
+
 _models: dict[str, object] = {}
 
 
