@@ -11,7 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.operators import vocabulary
+from lexmill.functions import text as T
+from lexmill.operators import sequences, vocabulary
 from lexmill.plans.registry import query
 from lexmill.plans.text_queries import strip_sql
 from lexmill.sources import files, sinks
@@ -54,6 +55,71 @@ def a9_a17_ingest_summary(spark, sf_dir):
     )
 
 
+def _folder(spark: SparkSession, sf_dir: str) -> str:
+    """A new folder with every document as a file of its own, the suffix by its id, and a folder below."""
+    place = _place(spark, "texts")
+    docs = read_table(spark, sf_dir, "documents")
+    suffix = F.when(F.col("doc_id") % 3 == 0, ".md").when(F.col("doc_id") % 3 == 1, ".txt").otherwise(".log")
+    named = docs.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), suffix).alias("output"), "text", "doc_id")
+    sinks.write_texts(named.where("doc_id % 2 = 0"), place)
+    sinks.write_texts(named.where("doc_id % 2 = 1"), f"{place}/below")
+    return place
+
+
+_PLACED = "SELECT doc_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS t, doc_id % 3 AS kind, doc_id % 2 AS below FROM documents"
+
+
+@query(f"SELECT 'doc-' || doc_id || CASE kind WHEN 0 THEN '.md' ELSE '.txt' END AS filename, CASE kind WHEN 0 THEN '.md' ELSE '.txt' END AS file_type, sha256(t) AS text FROM ({_PLACED}) WHERE kind < 2 AND length(t) >= 50 AND {strip_sql('t')} <> ''")
+def a1_a6_a24_a26_load_folder(spark, sf_dir):
+    """The loader over a folder to its bottom; markdown is read as it stands."""
+    docs = files.load_inputs(spark, _folder(spark, sf_dir), clean=False)
+    return docs.select("filename", "file_type", F.sha2("text", 256).alias("text"))
+
+
+@query(f"SELECT 'doc-' || doc_id || '.txt' AS filename, sha256(t) AS text FROM ({_PLACED}) WHERE kind = 1 AND below = 0 AND {strip_sql('t')} <> ''")
+def a18_text_folder(spark, sf_dir):
+    """The text files of a folder itself that aren't blank."""
+    found = files.text_folder(spark, _folder(spark, sf_dir))
+    return found.select(F.regexp_extract("path", r"([^/]*)\z", 1).alias("filename"), F.sha2("text", 256).alias("text"))
+
+
+@query("SELECT lower(suffix) AS suffix, count(*) AS n FROM (SELECT CASE doc_id % 3 WHEN 0 THEN '.md' WHEN 1 THEN '.txt' ELSE '.log' END AS suffix FROM documents WHERE doc_id >= 100) GROUP BY 1 HAVING suffix IN ('.md', '.txt')")
+def a7_a17_a19_scans(spark, sf_dir):
+    """A recursive scan by suffix and name pattern."""
+    found = files.scan(spark, _folder(spark, sf_dir), True, (".txt", ".md", ".html"), r"^doc-\d{3,}\.")
+    return found.groupBy(T.extension(F.col("path")).alias("suffix")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'doc-' || doc_id || '.txt' AS name, octet_length(encode(text))::BIGINT AS bytes, sha256(regexp_replace(text, '\\r\\n?', chr(10), 'g')) AS text FROM documents")
+def l1_l2_named_texts(spark, sf_dir):
+    """One file for each document by its name, read again."""
+    place = _place(spark, "named")
+    docs = read_table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("output"), "text")
+    written = sinks.write_texts(docs, place)
+    back = files.scan(spark, place).select(F.regexp_extract("path", r"([^/]*)\z", 1).alias("name"), F.sha2(files.decoded(F.col("content")), 256).alias("text"))
+    return written.join(back, "name")
+
+
+@query("""SELECT count(*) AS n, sum(t)::BIGINT AS total FROM (SELECT unnest(tokens[s * 8 + 1 : least(s * 8 + 16, len(tokens) - 1)]) AS t
+  FROM (SELECT tokens, unnest(range(0, (len(tokens) - 16) // 8 + 1)) AS s FROM (SELECT list_transform(string_split(text, ''), lambda c: ord(c)::BIGINT) AS tokens FROM conversations WHERE length(text) >= 16)))""")
+def j3_saved_samples(spark, sf_dir):
+    """Input ids of overlapping samples as one token column, written and read again."""
+    place = _place(spark, "samples")
+    talk = read_table(spark, sf_dir, "conversations").where("text <> ''")
+    tokens = talk.select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), F.transform(F.split("text", ""), lambda c: F.ascii(c).cast("long")).alias("tokens"))
+    sinks.write_samples(sequences.sample_windows(tokens, 16, 8), place)
+    return spark.read.parquet(place).agg(F.count("*").alias("n"), F.sum("token").alias("total"))
+
+
+@query(r"""SELECT token, (row_number() OVER (ORDER BY freq DESC, token) + 3)::BIGINT AS id FROM (SELECT token, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+')) AS token FROM conversations) GROUP BY token HAVING count(*) >= 2)
+UNION ALL VALUES ('<pad>', 0), ('<unk>', 1), ('<s>', 2), ('</s>', 3)""")
+def k5_saved_vocabulary(spark, sf_dir):
+    """A vocabulary written as JSON and read again."""
+    place = _place(spark, "vocabulary")
+    sinks.write_json(vocabulary.model_rows(vocabulary.vocabulary(read_table(spark, sf_dir, "conversations"))), place)
+    return spark.read.schema("token string, id long").json(place)
+
+
 @query("SELECT doc_id, sha256(text) AS text FROM documents")
 def l3_l5_l7_json_round_trip(spark, sf_dir):
     """Documents written as JSON lines and read again."""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.operators import dedup, metrics, sequences, vocabulary
+from lexmill.operators import dedup, metrics, reports, sequences, vocabulary
 from lexmill.plans.registry import query
 from lexmill.session import read_table
+from lexmill.sources import files
 
 #: The tables hold no pair at the default of 0.85.
 THRESHOLD = 0.4
@@ -31,23 +32,34 @@ def d9_d11_e2_drop_similar(spark, sf_dir):
     return dedup.drop_similar(v, dedup.similar_pairs(v, THRESHOLD)).select("vec_id", "label")
 
 
+@query(f"""SELECT a.vec_id AS i, b.vec_id + 1000000 AS j, 1.0::DOUBLE AS sim FROM embeddings a JOIN embeddings b ON a.vec_id = b.vec_id""")
+def d8_near_pairs(spark, sf_dir):
+    """Every vector beside a copy of it twice as long: the candidate buckets lose none of the pairs."""
+    v = _vectors(spark, sf_dir).select("vec_id", "embedding")
+    twice = v.select((F.col("vec_id") + 1_000_000).alias("vec_id"), F.transform("embedding", lambda x: x * 2).alias("embedding"))
+    return dedup.near_pairs(v.unionByName(twice), 0.85).withColumn("sim", F.round("sim", 4))
+
+
 # -- tokens (code points stand in for ids) ------------------------------------------------
 
-_TOKENS = "(SELECT doc_id, list_transform(string_split(substr(text, 1, 400), ''), lambda c: ord(c)::BIGINT) AS tokens FROM documents)"
+_TOKENS = "(SELECT doc_id, list_transform(string_split(text, ''), lambda c: ord(c)::BIGINT) AS tokens FROM documents WHERE text <> '')"
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Code points of each document's first 400 characters."""
-    text = F.substring("text", 1, 400)
-    code = F.transform(F.split(text, ""), lambda c: F.conv(F.hex(F.encode(c, "utf-32")), 16, 10).cast("long"))
-    return read_table(spark, sf_dir, "documents").select("doc_id", F.filter(code, lambda c: c.isNotNull()).alias("tokens"))
+    """Code points of each document's characters."""
+    docs = read_table(spark, sf_dir, "documents").where("text <> ''")
+    return docs.select("doc_id", F.transform(F.split("text", ""), lambda c: F.ascii(c).cast("long")).alias("tokens"))
+
 
+def _joined(c: str) -> Column:
+    return F.sha2(F.array_join(F.col(c).cast("array<string>"), ","), 256).alias(c)
 
-@query(f"""SELECT doc_id, s AS sample, array_to_string(tokens[s * 32 + 1 : least(s * 32 + 64, len(tokens) - 1)], ',') AS input_ids, array_to_string(tokens[s * 32 + 2 : least(s * 32 + 65, len(tokens))], ',') AS labels
+
+@query(f"""SELECT doc_id, s AS sample, sha256(array_to_string(tokens[s * 32 + 1 : least(s * 32 + 64, len(tokens) - 1)], ',')) AS input_ids, sha256(array_to_string(tokens[s * 32 + 2 : least(s * 32 + 65, len(tokens))], ',')) AS labels
 FROM (SELECT doc_id, tokens, unnest(range(0, greatest(0, (len(tokens) - 64) // 32 + 1))) AS s FROM {_TOKENS} WHERE len(tokens) >= 64)""")
 def g1_sample_windows(spark, sf_dir):
     w = sequences.sample_windows(_tokens(spark, sf_dir), 64, 32)
-    return w.select("doc_id", "sample", F.array_join(F.col("input_ids").cast("array<string>"), ",").alias("input_ids"), F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))
+    return w.select("doc_id", "sample", _joined("input_ids"), _joined("labels"))
 
 
 _FILES = "(SELECT source AS file, sum(n_chars)::BIGINT AS n_tokens FROM documents GROUP BY source)"
@@ -82,12 +94,13 @@ def f10_dataset_info(spark, sf_dir):
     return w.agg(F.count("*").alias("num_samples"), F.min("n").alias("shortest"), F.max("n").alias("longest"))
 
 
-@query("SELECT lang, array_to_string(flatten(list(string_split(substr(text, 1, 10), '') ORDER BY doc_id)), '') AS joined FROM documents GROUP BY lang")
+@query("""SELECT lang, sha256(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS texts, sha256(string_agg(CASE WHEN text <> '' THEN array_to_string(string_split(text, ''), ' ') END, ' ' ORDER BY doc_id)) AS tokens FROM documents GROUP BY lang""")
 def i1_i3_ordered_concat(spark, sf_dir):
-    """Token lists of each language's documents, concatenated in order."""
-    docs = read_table(spark, sf_dir, "documents").select("lang", "doc_id", F.split(F.substring("text", 1, 10), "").alias("t"))
-    listed = docs.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", "t"))).alias("rows"))
-    return listed.select("lang", F.array_join(F.flatten(F.transform("rows", lambda r: r.t)), "").alias("joined"))
+    """Texts and token lists of each language's documents, concatenated in order."""
+    docs = read_table(spark, sf_dir, "documents").withColumn("tokens", F.split(F.when(F.col("text") != "", F.col("text")), ""))
+    texts = sequences.concatenated(docs, ["lang"], "doc_id", "text", "\n\n")
+    tokens = sequences.concatenated(docs, ["lang"], "doc_id", "tokens")
+    return texts.join(tokens, "lang").select("lang", F.sha2("text", 256).alias("texts"), F.sha2(F.array_join("tokens", " "), 256).alias("tokens"))
 
 
 @query("SELECT doc_id, CASE WHEN ends_with(text, chr(10)) THEN text ELSE text || chr(10) END AS line FROM documents WHERE trim(text) <> ''")
@@ -99,9 +112,8 @@ def i2_corpus_lines(spark, sf_dir):
 @query("SELECT n, greatest(16, CASE WHEN n < 4096 THEN n // 4 ELSE 4096 END)::BIGINT AS block, (greatest(16, CASE WHEN n < 4096 THEN n // 4 ELSE 4096 END) // 2)::BIGINT AS stride, doc_id FROM (SELECT doc_id, n_chars AS n FROM documents)")
 def j4_adapted_blocks(spark, sf_dir):
     """Block size where a document is shorter than the block."""
-    n = F.col("n")
-    block = F.greatest(F.lit(16), F.when(n < 4096, F.floor(n / 4)).otherwise(4096)).cast("long")
-    return read_table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("n")).withColumn("block", block).withColumn("stride", F.floor(F.col("block") / 2).cast("long"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("n"))
+    return docs.withColumn("block", sequences.adapted_block(F.col("n"), 4096)).withColumn("stride", F.floor(F.col("block") / 2).cast("long"))
 
 
 @query("""WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
@@ -122,9 +134,14 @@ def j1_split_rows(spark, sf_dir):
 @query("SELECT event_type, batch_id, count(*) AS n, min(event_id) AS first FROM (SELECT event_type, event_id, ((row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 32)::BIGINT AS batch_id FROM events) GROUP BY 1, 2 HAVING count(*) = 32")
 def g10_j2_batches(spark, sf_dir):
     """Full batches of 32 in order, per event type."""
-    e = read_table(spark, sf_dir, "events")
-    numbered = e.withColumn("batch_id", F.floor((F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1) / 32).cast("long"))
-    return numbered.groupBy("event_type", "batch_id").agg(F.count("*").alias("n"), F.min("event_id").alias("first")).where("n = 32")
+    full = sequences.batches(read_table(spark, sf_dir, "events"), ["event_id"], 32, True, ["event_type"])
+    return full.groupBy("event_type", "batch_id").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+
+
+@query("""SELECT event_id, batch_id FROM (SELECT event_id, ((row_number() OVER (ORDER BY md5(event_id || ':42'), event_id) - 1) // 64)::BIGINT AS batch_id, count(*) OVER () AS n FROM events) WHERE (batch_id + 1) * 64 <= n""")
+def j2_shuffled_batches(spark, sf_dir):
+    """Full batches of 64 over all rows in a seeded order."""
+    return sequences.batches(read_table(spark, sf_dir, "events"), sequences.shuffled("event_id", 42), 64, True).select("event_id", "batch_id")
 
 
 # Means get 1e-9 on both sides, so that exact halves of the last digit round alike.
@@ -201,33 +218,31 @@ def b41_estimates(spark, sf_dir):
 # -- statistics ---------------------------------------------------------------------------
 
 
-@query("SELECT lang, count(*) AS files_processed, sum(n_chars)::BIGINT AS total_size FROM documents GROUP BY lang")
+@query("SELECT lang, count(*) FILTER (n_chars >= 100) AS files_processed, count(*) FILTER (n_chars < 100) AS files_failed, coalesce(sum(n_chars) FILTER (n_chars >= 100), 0)::BIGINT AS total_size FROM documents GROUP BY lang")
 def f3_f6_f15_processing_stats(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("files_processed"), F.sum("n_chars").alias("total_size"))
+    """Counters of each language; texts of under 100 characters count as failed."""
+    n = F.col("n_chars")
+    return reports.processing_stats(read_table(spark, sf_dir, "documents"), ["lang"], n, n < 100)
 
 
 @query("""SELECT count(*) AS total_files, count(*) FILTER (event_type <> 'error') AS successful, count(*) FILTER (event_type = 'error') AS failed,
-  round(100.0 * count(*) FILTER (event_type <> 'error') / count(*), 2) AS success_rate, count(DISTINCT CASE WHEN event_type = 'error' THEN user_id % 5 END) AS error_types FROM events""")
+  round(100.0 * count(*) FILTER (event_type <> 'error') / count(*), 2) AS success_rate, round(sum(event_id) FILTER (event_type <> 'error') / 1048576, 4) AS total_mb,
+  count(DISTINCT CASE WHEN event_type = 'error' THEN user_id % 5 END) AS error_types, round(count(*) / 8.0, 2) AS files_per_second FROM events""")
 def f5_processing_summary(spark, sf_dir):
-    bad = F.col("event_type") == "error"
-    return read_table(spark, sf_dir, "events").agg(
-        F.count("*").alias("total_files"), F.count(F.when(~bad, 1)).alias("successful"), F.count(F.when(bad, 1)).alias("failed"),
-        F.round(100.0 * F.count(F.when(~bad, 1)) / F.count("*"), 2).alias("success_rate"), F.count_distinct(F.when(bad, F.col("user_id") % 5)).alias("error_types"),
-    )
+    error = F.when(F.col("event_type") == "error", F.col("user_id") % 5)
+    return reports.processing_summary(read_table(spark, sf_dir, "events"), error, F.col("event_id"), 8)
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 5")
+def h9_first_errors(spark, sf_dir):
+    """The first five errors (the limit is the feature)."""
+    e = read_table(spark, sf_dir, "events").withColumn("error", F.when(F.col("event_type") == "error", F.col("event_type")))
+    return reports.first_errors(e, "error", "event_id").select("event_id", "user_id")
 
 
-@query("""WITH l AS (SELECT lang, doc_id, generate_subscripts(a, 1) AS pos, unnest(a) AS line FROM (SELECT lang, doc_id, string_split(text, chr(10)) AS a FROM documents)),
-r AS (SELECT lang, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS rn FROM l WHERE trim(line) <> '')
-SELECT lang, count(*) AS original_lines, count(*) FILTER (rn = 1) AS final_lines, count(*) FILTER (rn > 1) AS total_removed, round(100.0 * count(*) FILTER (rn > 1) / count(*), 4) AS reduction FROM r GROUP BY lang""")
-def f4_dedup_summary(spark, sf_dir):
-    """Lines, removed lines and the reduction in percent; equal lines are equal as they stand."""
-    docs = read_table(spark, sf_dir, "documents")
-    each = docs.select("lang", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.trim("line") != "")
-    first = each.groupBy("line").agg(F.min(F.struct("doc_id", "pos", "lang")).alias("f")).groupBy(F.col("f.lang").alias("lang")).agg(F.count("*").alias("final_lines"))
-    total = each.groupBy("lang").agg(F.count("*").alias("original_lines"))
-    removed = F.col("original_lines") - F.col("final_lines")
-    out = total.join(first, "lang", "left").withColumn("final_lines", F.coalesce("final_lines", F.lit(0)))
-    return out.select("lang", "original_lines", "final_lines", removed.alias("total_removed"), F.round(100.0 * removed / F.col("original_lines"), 4).alias("reduction"))
+@query("SELECT label, round(sqrt(sum(x * x)), 4) AS norm, count(*) AS n FROM (SELECT label, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label")
+def f13_vector_norms(spark, sf_dir):
+    return reports.vector_norms(_vectors(spark, sf_dir), ["label"], "embedding").withColumn("norm", F.round("norm", 4))
 
 
 # -- registry (orders: name, created_at, loss) --------------------------------------------
@@ -241,10 +256,10 @@ def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.concat(F.lit("run"), F.col("o_orderkey").cast("string")).alias("name"), F.col("o_orderdate").alias("created_at"), loss.alias("loss"), F.col("o_custkey").alias("step"))
 
 
-@query(f"SELECT name, row_number() OVER (ORDER BY coalesce(loss, 'inf'::DOUBLE), name)::BIGINT AS place FROM {_REGISTRY} ORDER BY coalesce(loss, 'inf'::DOUBLE), name LIMIT 50")
+@query(f"SELECT name, row_number() OVER (ORDER BY coalesce(loss, 'inf'::DOUBLE), name)::BIGINT AS place FROM {_REGISTRY}")
 def h1_list_runs(spark, sf_dir):
-    top = metrics.list_runs(_registry(spark, sf_dir), "loss").limit(50)
-    return top.select("name", F.row_number().over(Window.orderBy(F.coalesce("loss", F.lit(float("inf"))), "name")).cast("long").alias("place"))
+    """All runs with their place by loss."""
+    return sequences.numbered(_registry(spark, sf_dir), metrics.run_order("loss"), "place").select("name", (F.col("place") + 1).alias("place"))
 
 
 @query(f"SELECT * FROM (SELECT 'best' AS kind, name FROM {_REGISTRY} WHERE loss IS NOT NULL ORDER BY loss, created_at DESC, name LIMIT 1) UNION ALL SELECT * FROM (SELECT 'latest', name FROM {_REGISTRY} ORDER BY created_at DESC, name LIMIT 1)")
@@ -291,7 +306,7 @@ def e7_repetition_penalty(spark, sf_dir):
     return metrics.repetition_penalty(logits, logits.where("token % 3 = 0"), 1.2).select("row", "token", F.round("logit", 6).alias("logit"))
 
 
-@query()
+@query(f"""SELECT "row", arg_max(token, logit - ln(-ln((('0x' || substr(md5("row" || ':' || token || ':7'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE))) AS token FROM {_LOGITS} GROUP BY "row\"""")
 def j5_sample_tokens(spark, sf_dir):
     """One token of each row drawn by its probability; the same in every run."""
     return metrics.sample_tokens(_logits(spark, sf_dir), 7)
@@ -300,19 +315,21 @@ def j5_sample_tokens(spark, sf_dir):
 # -- lookups, truncation, vocabulary ------------------------------------------------------
 
 
-@query("SELECT page_id, CASE WHEN contains(url, '.html') THEN 'html' WHEN ends_with(url, '/') THEN 'folder' ELSE 'text' END AS processor FROM pages")
+@query(r"""SELECT page_id, CASE WHEN s IN ('.html', '.htm') THEN 'html' WHEN s IN ('.md', '.markdown') THEN 'markdown' WHEN s = '.txt' THEN 'plain' WHEN s IN ('.pdf', '.docx', '.pptx', '.epub') THEN s[2:] END AS processor
+FROM (SELECT page_id, lower(regexp_extract(CASE page_id % 5 WHEN 0 THEN url || '/a.PDF' WHEN 1 THEN url || '/b.md' WHEN 2 THEN url || '/.txt' WHEN 3 THEN url || '/c.txt' ELSE url END, '[^/.][^/]*(\.[^./]+)$', 1)) AS s FROM pages)""")
 def e5_processor_lookup(spark, sf_dir):
-    u = F.col("url")
-    return read_table(spark, sf_dir, "pages").select("page_id", F.when(u.contains(".html"), "html").when(u.endswith("/"), "folder").otherwise("text").alias("processor"))
+    """Which extractor serves a path."""
+    more = F.when(F.col("page_id") % 5 == 0, "/a.PDF").when(F.col("page_id") % 5 == 1, "/b.md").when(F.col("page_id") % 5 == 2, "/.txt").when(F.col("page_id") % 5 == 3, "/c.txt").otherwise("")
+    return read_table(spark, sf_dir, "pages").select("page_id", files.processor(F.concat("url", more)).alias("processor"))
 
 
-@query("SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, coalesce(b.v, a.v) AS v FROM (SELECT doc_id, quality AS v FROM labels) a FULL OUTER JOIN (SELECT doc_id, toxic AS v FROM labels WHERE doc_id % 2 = 0) b ON a.doc_id = b.doc_id")
+@query("SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, coalesce(b.v, a.v) AS v FROM (SELECT doc_id, quality AS v FROM labels WHERE doc_id % 3 > 0) a FULL OUTER JOIN (SELECT doc_id, CASE WHEN toxic = 1 THEN 7 END AS v FROM labels WHERE doc_id % 2 = 0) b ON a.doc_id = b.doc_id")
 def e6_override_join(spark, sf_dir):
     """Right side wins where it has a value."""
     labels = read_table(spark, sf_dir, "labels")
-    a = labels.select(F.col("doc_id").alias("ia"), F.col("quality").alias("va"))
-    b = labels.where("doc_id % 2 = 0").select(F.col("doc_id").alias("ib"), F.col("toxic").alias("vb"))
-    return a.join(b, F.col("ia") == F.col("ib"), "full").select(F.coalesce("ib", "ia").alias("doc_id"), F.coalesce("vb", "va").alias("v"))
+    left = labels.where("doc_id % 3 > 0").select("doc_id", F.col("quality").alias("v"))
+    right = labels.where("doc_id % 2 = 0").select("doc_id", F.when(F.col("toxic") == 1, 7).alias("v"))
+    return reports.override(left, right, "doc_id")
 
 
 @query("SELECT doc_id, substr(text, 1, 100) AS head FROM documents")

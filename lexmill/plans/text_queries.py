@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import patterns as P
 from lexmill.functions import text as T
 from lexmill.functions import unicode as U
-from lexmill.operators import cleaning, dedup
+from lexmill.operators import cleaning, dedup, reports
 from lexmill.plans.registry import query
 from lexmill.session import read_table, ship
 
@@ -215,6 +215,22 @@ def b14_clean_documents(spark, sf_dir):
     )
 
 
+@query(
+    _CLEANER.replace(
+        "$columns",
+        "doc_id, doc_id % 7 = 0 AS failed, CASE WHEN doc_id % 7 = 0 THEN 'FF' ELSE sha256(cleaned) END AS cleaned, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE length(raw) END::BIGINT AS original_length, "
+        "CASE WHEN doc_id % 7 = 0 THEN 0 ELSE length(raw) - length(cleaned) END::BIGINT AS chars_removed"
+    )
+)
+def b15_clean_batch(spark, sf_dir):
+    """The cleaner over a table in which every seventh text is no UTF-8."""
+    docs = _docs(spark, sf_dir)
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.unhex(F.lit("FF")).cast("string")).otherwise(F.col("text")))
+    out = cleaning.clean_batch(docs)
+    digest = F.when(F.col("failed"), F.hex(F.col("cleaned").cast("binary"))).otherwise(F.sha2("cleaned", 256))
+    return out.select("doc_id", "failed", digest.alias("cleaned"), F.col("stats.original_length").alias("original_length"), F.col("stats.chars_removed").alias("chars_removed"))
+
+
 @query(
     _CLEANER.replace(
         "$columns",
@@ -247,11 +263,11 @@ def b16_line_key(spark, sf_dir):
     return talk.select("conv_id", "turn", U.line_key(F.concat("text", F.lit(" CAFÉ\t End "))).alias("k"))
 
 
-@query("SELECT page_id, url || ' <b> \"q\" &amp; ''' AS decoded FROM pages WHERE url NOT LIKE '%&%'")
+@query(f"SELECT page_id, {_fold(chr(40) + 'url || chr(32) || ' + repr('&lt;b&gt; &quot;q&quot; &amp;amp; &#39;') + chr(41), (('&lt;', '<'), ('&gt;', '>'), ('&quot;', chr(34)), ('&#39;', chr(39)), ('&amp;', '&')))} AS decoded FROM pages")
 def b17_unescape(spark, sf_dir):
+    """Entities of every page's url and of a sample; the urls' own ampersands start no entity."""
     ship(spark)
-    pages = read_table(spark, sf_dir, "pages").where("url not like '%&%'")
-    return pages.select("page_id", U.unescape(F.concat("url", F.lit(" &lt;b&gt; &quot;q&quot; &amp;amp; &#39;"))).alias("decoded"))
+    return read_table(spark, sf_dir, "pages").select("page_id", U.unescape(F.concat("url", F.lit(" &lt;b&gt; &quot;q&quot; &amp;amp; &#39;"))).alias("decoded"))
 
 
 def _contract(x: str) -> str:
@@ -385,9 +401,9 @@ def b31_tidy_lines(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.tidy_lines(F.col("text")).alias("text"))
 
 
-#: Markdown around each document's first words.
+#: Markdown in front of each document's text.
 _MD = "# Head **bold** and `code`\n\n```\ndrop me\n```\n> quote\n- item\n12. twelve\n[link](http://x) ![alt](u) [r][1] ![i][2]\n|a|b|\n|:-|-:|\n[1]: http://y\n<!-- gone -->\n\\# star\n"
-_MD_SQL = "('" + _MD + "' || substr(replace(replace(text, '*', ''), '_', ''), 1, 200))"
+_MD_SQL = "('" + _MD + "' || replace(replace(text, '*', ''), '_', ''))"
 for _i, (_p, _r) in enumerate((*P.MARKDOWN, *P.MARKDOWN_REST)):
     if "(?<!" not in _p:
         _q = _p.replace("(?Udm)", "(?m)").replace("(?dm)", "(?m)").replace("(?d)", "").replace("'", "''")
@@ -398,7 +414,7 @@ for _i, (_p, _r) in enumerate((*P.MARKDOWN, *P.MARKDOWN_REST)):
 def b33_b34_markdown(spark, sf_dir):
     """Markdown as text; the made-up markdown has no single stars or underscores in pairs."""
     docs = _docs(spark, sf_dir, False)
-    return docs.select("doc_id", T.markdown_plain(F.concat(F.lit(_MD), F.substring(F.regexp_replace("text", "[*_]", ""), 1, 200))).alias("plain"))
+    return docs.select("doc_id", T.markdown_plain(F.concat(F.lit(_MD), F.regexp_replace("text", "[*_]", ""))).alias("plain"))
 
 
 @query(r"""SELECT page_id, CASE WHEN e <> '' THEN b || '_' || e || '.txt' ELSE b || '.txt' END AS name FROM (
@@ -454,6 +470,12 @@ def d5_corpus_line_dedup_stats(spark, sf_dir):
     return dedup.line_dedup_stats(_lined(spark, sf_dir), "lang")
 
 
+@query(_LINES + "SELECT lang, count(*) AS n_lines, count(*) FILTER (kept) AS n_kept, count(*) FILTER (NOT kept) AS n_removed, round(100.0 * count(*) FILTER (NOT kept) / count(*), 2) AS reduction, round(count(*) / 4.0, 2) AS lines_per_second FROM r JOIN documents USING (doc_id) GROUP BY lang")
+def f4_dedup_summary(spark, sf_dir):
+    """Lines, removed lines, the reduction in percent and the speed, had it taken four seconds."""
+    return reports.dedup_summary(dedup.line_dedup_stats(_lined(spark, sf_dir), "lang"), 4).drop("n_distinct")
+
+
 @query(f"""WITH l AS (SELECT doc_id, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
 r AS (SELECT *, k = '' OR row_number() OVER (PARTITION BY doc_id, k ORDER BY pos) = 1 AS kept FROM (SELECT *, {_KEY.format('line')} AS k FROM l))
 SELECT doc_id, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (kept), '')) AS text, count(*) FILTER (NOT kept) AS n_removed FROM r GROUP BY doc_id""")
