@@ -22,8 +22,8 @@ def strip(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    """Every run of white space becomes one blank; single blanks are left alone."""
-    return F.regexp_replace(c, f" [{WHITE}]+|[{WHITE.replace(' ', '')}][{WHITE}]*", " ")
+    """Every run of white space becomes one blank."""
+    return F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " ")
 
 
 def lines(c: Column) -> Column:
@@ -107,10 +107,13 @@ def filter_lines(c: Column, min_length: int = 10, max_length: int = 1000) -> Col
 
 
 def dedup_lines(array: Column) -> Column:
-    """First of each line, equal without case and outer white space, in order."""
-    keys = F.transform(array, lambda x: strip(F.lower(x)))
-    firsts = F.transform(F.array_distinct(keys), lambda k: F.array_position(keys, k))
-    return F.transform(firsts, lambda i: F.element_at(array, i.cast("int")))
+    """First of each line, equal without case and outer white space, in order.
+
+    Lines are sorted by key and place, so a text of many lines costs little more than its length.
+    """
+    placed = F.sort_array(F.transform(array, lambda x, i: F.struct(strip(F.lower(x)).alias("k"), i.alias("i"), x.alias("x"))))
+    firsts = F.transform(F.array(placed), lambda rows: F.filter(rows, lambda r, i: (i == 0) | (r.k != F.get(rows, i - 1).k)))
+    return F.transform(F.sort_array(F.transform(F.element_at(firsts, 1), lambda r: F.struct(r.i.alias("i"), r.x.alias("x")))), lambda r: r.x)
 
 
 def final_cleanup(c: Column) -> Column:

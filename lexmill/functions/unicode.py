@@ -16,12 +16,9 @@ from pyspark.sql import functions as F
 from lexmill.functions.text import fold_line
 
 #: Below U+0300 no text changes under NFC and only C1/C0 characters belong to a C category.
-NFC_TRIGGER = r"[^\t\n\r\x20-\x7e\xa0-\xac\xae-˿]"
-#: Characters below U+0300 that NFKC changes, everything above, and ampersands.
-NFKC_TRIGGER = (
-    r"[&\xa0\xa8\xaa\xaf\xb2-\xb5\xb8-\xba\xbc-\xbeĲĳĿŀŉſǄ-ǌǱ-ǳ"
-    r"ʰ-ʸ˘-˝ˠ-ˤ]|[^\x00-˿]"
-)
+NFC_TRIGGER = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\xad\u0300-\x{10ffff}]"
+#: Characters below U+0100 that NFKC changes, everything above, and ampersands.
+NFKC_TRIGGER = r"[&\xa0\xa8\xaa\xaf\xb2-\xb5\xb8-\xba\xbc-\xbe\u0100-\x{10ffff}]"
 
 
 def nfc_text(s: str) -> str:

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from lexmill.config import Config
 from lexmill.functions import text as T
 from lexmill.operators import cleaning, dedup, sequences, vocabulary
+from lexmill.session import materialise
 
 
 def cleaned(docs: DataFrame, config: Config) -> DataFrame:
     """(doc_id, text): cleaned and without lines seen anywhere before; emptied ones go."""
     c = config.cleaning
     out = cleaning.clean_documents(docs, c.urls, c.emails, c.phones, False, c.min_line, c.max_line, c.dedup).select("doc_id", F.col("cleaned").alias("text"))
+    out = materialise(out, "cleaned")  # the line dedup reads it twice
     return dedup.dedup_corpus_lines(out, algorithm=config.dedup.algorithm).where(T.strip(F.col("text")) != "").select("doc_id", "text")
 
 

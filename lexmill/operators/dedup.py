@@ -29,7 +29,8 @@ def keyed_lines(docs: DataFrame, key=None, algorithm: str = "sha256", columns: t
     own = [c for c in columns if c not in ("pos", "line")]
     text = F.col("text")
     both = docs.select(*own, T.lines(text).alias("__raw"), T.lines(U.compatible_lines(text) if key is None else text).alias("__ready"))
-    each = both.select(*own, "__raw", F.posexplode("__ready").alias("pos", "__line"))
+    # outer: keeps the optimizer from adding a filter on the exploded expression, with the Python function in it
+    each = both.select(*own, "__raw", F.posexplode_outer("__ready").alias("pos", "__line")).where("pos is not null")
     k = T.fold_line(F.col("__line")) if key is None else key(F.col("__line"))
     line = F.get("__raw", F.col("pos")).alias("line")
     return each.select(*(line if c == "line" else c for c in columns), k.alias("k")).select(*columns, F.when(F.col("k") != "", T.line_hash(F.col("k"), algorithm)).alias("h"))

@@ -31,10 +31,10 @@ def register(*suffixes: str) -> Callable[[Extractor], Extractor]:
     return add
 
 
-def decode(content: bytes) -> str:
+def decode(content: bytes, encoding: str = "utf-8-sig") -> str:
     """UTF-8 without its mark, else Latin-1 (which never fails); every line end becomes \\n."""
     try:
-        text = content.decode("utf-8-sig")
+        text = content.decode(encoding)
     except UnicodeDecodeError:
         text = content.decode("iso-8859-1")
     return text.replace("\r\n", "\n").replace("\r", "\n")
@@ -76,7 +76,8 @@ def html_text(markup: str) -> str:
 
 @register(".txt")
 def plain(content: bytes) -> str | None:
-    return decode(content)
+    """Text as it stands, with its mark."""
+    return decode(content, "utf-8")
 
 
 @register(".html", ".htm")

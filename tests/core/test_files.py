@@ -133,6 +133,11 @@ def test_token_files(spark, tmp_path):
         files._saved_tensor(evil.getvalue())
 
 
+def test_marks_of_encodings():
+    assert extractors.extract(".html", b"\xef\xbb\xbf<p>x</p>")[0] == "x" and extractors.extract(".txt", b"\xef\xbb\xbfx")[0] == "\ufeffx"
+    assert extractors.processor_name(".HTM") == "html" and extractors.processor_name(".zip") is None
+
+
 def test_named_texts(spark, tmp_path):
     docs = spark.createDataFrame([("a.txt", "x"), ("b.txt", None), ("a.txt", "z"), ("../c", "no"), (None, "no")], "output string, text string")
     place = str(tmp_path / "out")
@@ -146,9 +151,9 @@ def test_load_inputs(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub/a.md").write_text("# Head *bold*  text\n")
     (tmp_path / "bad.docx").write_bytes(b"no")
-    (tmp_path / "mark.txt").write_bytes(b"\xef\xbb\xbfwith a mark")
+    (tmp_path / "plain.txt").write_bytes(b"without a mark")
     got = {r.filename: r.text for r in files.load_inputs(spark, str(tmp_path), min_length=1).collect()}
-    assert got == {"a.md": "# Head *bold* text", "mark.txt": "with a mark"}
+    assert got == {"a.md": "# Head *bold* text", "plain.txt": "without a mark"}
     assert files.load_inputs(spark, str(tmp_path / "sub/a.md"), min_length=1).count() == 1
     with pytest.raises(ValueError, match="bad.docx"):
         files.load_inputs(spark, str(tmp_path / "bad.docx"))

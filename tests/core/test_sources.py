@@ -50,7 +50,7 @@ def test_scan_filters_and_loader(spark, tmp_path):
     assert names(files.scan(spark, str(tmp_path), recursive=False, extensions=(".txt",))) == ["a.txt", "empty.txt"]
     assert names(files.scan(spark, str(tmp_path), name_pattern="^[ab]")) == ["a.txt", "b.TXT", "broken.docx"]
     loaded = {r.filename: r for r in files.load_documents(files.scan(spark, str(tmp_path)), max_length=60).collect()}
-    assert sorted(loaded) == ["a.txt", "b.TXT"] and loaded["a.txt"].char_count == 60 and loaded["b.TXT"].file_type == ".txt"
+    assert sorted(loaded) == ["a.txt", "b.TXT", "d.md"] and loaded["d.md"].text.startswith("# Head") and loaded["a.txt"].char_count == 60 and loaded["b.TXT"].file_type == ".txt"
     done = {r.output: r.status for r in files.ingest(files.scan(spark, str(tmp_path))).collect()}
     assert done == {"c_html.txt": "processed", "d_md.txt": "processed", "g_epub.txt": "processed"}
     decoded = files.scan(spark, str(tmp_path), extensions=(".txt",)).select("path", files.decoded(F.col("content")).alias("t")).collect()
