@@ -62,7 +62,7 @@ def test_extractor_registry():
     def shout(content):
         return content.decode().upper()
 
-    assert extractors.extract(".XYZ", b"a") == ("A", None) and extractors.extract(".pdf", b"")[1] == "unsupported format"
+    assert extractors.extract(".XYZ", b"a") == ("A", None) and extractors.extract(".rtf", b"")[1] == "unsupported format"
     del extractors.EXTRACTORS[".xyz"]
 
 
