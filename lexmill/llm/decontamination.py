@@ -19,8 +19,9 @@ Shingles are looked up on a fold that lower-cases every script (a coarser key th
 contract's A-Z); verification compares words that are lower-cased in A-Z only.
 
 Defined results: null and empty texts have no words, are never hit and not contaminated;
-items without words are ignored; equal items all count; rows with equal ids share their
-hits; a null id is an id like any other; other columns are ignored.
+items without words are ignored; equal items all count; words of an item with a null id are hit,
+but it has no id to list or count; rows with equal ids share their hits; a null doc_id is an id
+like any other; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,13 +41,18 @@ PERCENT = 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Separators in texts of any case: ASCII but letters and digits.
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, _GAP), "")
 
 
+def _word_count(parts: Column) -> Column:
+    """Words among the parts of a text between gaps, of which the outer ones may be empty."""
+    outer = [F.when(F.element_at(parts, i) == "", 1).otherwise(0) for i in (1, -1)]
+    return F.when(parts.isNull(), 0).otherwise(F.greatest(F.size(parts) - outer[0] - outer[1], F.lit(0))).cast("long")
+
+
 def _fold(text: Column) -> Column:
     """A key coarser than A-Z lower-casing that maps each word by itself."""
     return F.replace(F.lower(text), F.lit("ς"), F.lit("σ"))
@@ -76,38 +82,56 @@ def _tokens(wins: DataFrame, size: int) -> DataFrame:
     return spots.select("window", "length", "offset", _shingle(F.col("k"), F.col("offset"), size).alias("h"))
 
 
-def _positions(docs: DataFrame, size: int) -> DataFrame:
-    """Every word position of every document with the hash of the shingle that starts there."""
+def _lookup(docs: DataFrame, tables: dict[int, DataFrame]) -> DataFrame:
+    """(doc_id, raw, pos, found): the word positions where a known shingle starts.
+
+    ``tables`` maps the words of a shingle to (h, found), one row for each known hash, where
+    found is an array. All sizes are looked up in one pass over the texts.
+    """
     text = F.col("text").cast("string")
     both = docs.select("doc_id", _words(text).alias("raw"), _words(_fold(text)).alias("keys"))
     # outer: keeps the optimizer from adding a filter that would split every text twice
     spots = both.select("doc_id", "raw", "keys", F.posexplode_outer("keys").alias("pos", "word"))
-    inside = spots.where(F.col("pos") + size <= F.size("keys"))
-    return inside.select("doc_id", "raw", "pos", _shingle(F.col("keys"), F.col("pos"), size).alias("h"))
+    for size, table in tables.items():
+        h = F.when(F.col("pos") + size <= F.size("keys"), _shingle(F.col("keys"), F.col("pos"), size))
+        spots = spots.join(F.broadcast(table.select(F.col("h").alias(f"h{size}"), F.col("found").alias(f"f{size}"))), h == F.col(f"h{size}"), "left")
+    found = [F.col(f"f{size}") for size in tables]
+    hit = spots.where(F.coalesce(*found).isNotNull())
+    # functions with lambdas would end the generated loop here, and whole texts be buffered for every position
+    none = F.array().cast(hit.schema[f"f{min(tables)}"].dataType)
+    return hit.select("doc_id", "raw", "pos", F.concat(*(F.coalesce(f, none) for f in found)).alias("found"))
+
+
+def _block_matches(docs: DataFrame, wins: DataFrame, sizes: list[int], shingle: int) -> DataFrame:
+    """Every occurrence of the given windows, whose tokens fit a broadcast."""
+    parts = {size: _tokens(wins.where(F.least("length", F.lit(shingle)) == size), size) for size in sizes}
+    known = {size: part.select("h").distinct().withColumn("found", F.array("h")) for size, part in parts.items()}
+    seen = materialise(_lookup(docs, known).select(F.explode("found").alias("h")).groupBy("h").agg(F.count("*").alias("n")), "rarity")
+    prefixes = {}
+    for size, part in parts.items():
+        rarest = part.join(F.broadcast(seen), "h").groupBy("window", "length").agg(F.min(F.struct("n", "h", "offset")).alias("p"), F.count("*").alias("k"))
+        # a window with a shingle that no document has can't occur
+        sure = rarest.where(F.col("k") == F.col("length") - size + 1)
+        prefixes[size] = sure.groupBy(F.col("p.h").alias("h")).agg(F.collect_list(F.struct("window", "length", F.col("p.offset").alias("offset"))).alias("found"))
+    hit = _lookup(docs, prefixes).select("doc_id", "raw", "pos", F.explode("found").alias("w")).select("doc_id", "raw", "w.*", (F.col("pos") - F.col("w.offset")).alias("start"))
+    bounded = hit.where((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.size("raw")))
+    same = _ascii_lower(F.array_join(F.slice("raw", F.col("start") + 1, F.col("length")), " ")) == F.col("window")
+    return bounded.where(same).select("doc_id", "start", "length", "window")
 
 
 def matches(docs: DataFrame, wins: DataFrame, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, start, length, window): every occurrence of every window."""
+    """(doc_id, start, length, window): every occurrence of every window.
+
+    Two passes over the documents for each block of windows, whatever the windows' lengths.
+    """
     shape = wins.agg(F.sum(F.octet_length("window") + 32).alias("bytes"), F.collect_set(F.least("length", F.lit(shingle))).alias("sizes")).first()
     blocks = max(1, -(-(shape.bytes or 0) // block_bytes))
-    found = []
-    for size in sorted(shape.sizes or [shingle]):
-        own = wins.where(F.least("length", F.lit(shingle)) == size)
-        for block in range(blocks):
-            part = _tokens(own.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block), size)
-            known = F.broadcast(part.select("h").distinct())
-            seen = materialise(_positions(docs, size).join(known, "h", "left_semi").groupBy("h").agg(F.count("*").alias("n")), "rarity")
-            rarest = part.join(F.broadcast(seen), "h", "left").groupBy("window", "length").agg(
-                F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "offset")).alias("p")
-            )
-            prefix = rarest.where("p.n > 0").select("window", "length", F.col("p.h").alias("h"), F.col("p.offset").alias("offset"))
-            hit = _positions(docs, size).join(F.broadcast(prefix), "h").withColumn("start", F.col("pos") - F.col("offset"))
-            bounded = hit.where((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.size("raw")))
-            same = _ascii_lower(F.array_join(F.slice("raw", F.col("start") + 1, F.col("length")), " ")) == F.col("window")
-            found.append(bounded.where(same).select("doc_id", "start", "length", "window"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    sizes = sorted(shape.sizes or [shingle])
+    out = None
+    for block in range(blocks):
+        part = wins if blocks == 1 else wins.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block)
+        found = _block_matches(docs, part, sizes, shingle)
+        out = found if out is None else out.unionByName(found)
     return out
 
 
@@ -121,7 +145,7 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     hits = spans.withColumn("fresh", F.greatest(fresh, F.lit(0))).groupBy("doc_id").agg(F.sum("fresh").cast("long").alias("n_hit"))
     sets = found.select("doc_id", "window").distinct().join(wins.select("window", "items"), "window").groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     both = hits.join(sets, hits.doc_id.eqNullSafe(sets.doc_id)).select(hits.doc_id.alias("_id"), "n_hit", "items")
-    size = docs.select("doc_id", F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    size = docs.select("doc_id", F.split(F.col("text").cast("string"), _GAP).alias("parts")).select("doc_id", _word_count(F.col("parts")).alias("n_words"))
     joined = size.join(both, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     n_hit, items = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
