@@ -6,6 +6,7 @@ texts of a batch at once, at a cost that depends on bytes and not on the number
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,10 +16,6 @@ import pyarrow.compute as pc
 #: Bytes that are handled at once.
 SLICE_BYTES = 1 << 19
 
-_R = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse
-_RINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: list[np.ndarray] = []
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (splitmix64): spreads every input bit over all output bits."""
@@ -30,29 +27,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: A random-looking 64-bit value for each byte.
-BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-LOWER = np.arange(256, dtype=np.uint8)
+#: Bytes as they are, and with A-Z lower-cased.
+SAME = np.arange(256, dtype=np.uint8)
+LOWER = SAME.copy()
 LOWER[0x41:0x5B] += 32
-LOWER_VALUE = BYTE_VALUE[LOWER]
 #: Every byte but blank and \t \n \v \f \r belongs to a word.
 WORD_BYTE = np.ones(256, bool)
 WORD_BYTE[[0x20, *range(0x09, 0x0E)]] = False
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the multiplier and of its inverse, modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        made = []
-        for base in (_R, _RINV):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            made.append(np.cumprod(p))
-        _powers[:] = made
-    return _powers[0][:n], _powers[1][:n]
-
-
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the n + 1 offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -94,21 +77,36 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = WORD_BYTE)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def prefix_sums(data: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """c with (c[e] - c[s]) * inverse**s a hash of data[s:e] that is the same anywhere."""
-    c = np.zeros(len(data) + 1, np.uint64)
-    v = values[data]
-    v *= powers(len(data))[0]
-    np.cumsum(v, out=c[1:])
-    return c
+#: Lanes of eight bytes that are hashed for all spans at once; what is behind them in long
+#: spans goes through a cryptographic hash.
+LANES = 4
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+_SIZE = np.uint64(0xA0761D6478BD642F)
 
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans."""
-    h = sums[ends] - sums[starts]
-    h *= powers(len(sums))[1][starts]
-    h ^= (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-    return mix(h)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = SAME) -> np.ndarray:
+    """64-bit hashes of the spans, each byte replaced by its value in ``table``.
+
+    Lanes of eight bytes are chained through the finalizer, so that neither the order of bytes
+    nor that of lanes cancels out; equal hashes of different spans are a matter of chance alone.
+    """
+    wide = np.zeros(len(data) + 8, np.uint8)
+    np.take(table, data, out=wide[: len(data)])
+    lanes = np.ndarray((len(data) + 1,), "<u8", wide, 0, (1,))
+    left = ends - starts
+    h = mix((left.astype(np.uint64) + np.uint64(1)) * _SIZE)
+    live, at = np.flatnonzero(left), starts[left > 0]
+    left = left[live]
+    for _ in range(LANES):
+        if not len(live):
+            return h
+        h[live] = mix(h[live] ^ (lanes[at] & _KEEP[np.minimum(left, 8)]))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    view = memoryview(wide)
+    rest = b"".join(hashlib.blake2b(view[s : s + n], digest_size=8).digest() for s, n in zip(at.tolist(), left.tolist(), strict=True))
+    h[live] = mix(h[live] ^ np.frombuffer(rest, "<u8"))
+    return h
 
 
 _ODD = mix(np.arange(101, 133, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)) | np.uint64(1)
@@ -144,7 +142,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.
     row without words has none.
     """
     s, e, wo = words(data, offsets)
-    w = span_hashes(prefix_sums(data, LOWER_VALUE), s, e)
+    w = span_hashes(data, s, e, LOWER)
     size = np.diff(wo)
     rows = len(size)
     g = gram_hashes(w, k)

@@ -32,6 +32,8 @@ from lexmill.session import ship
 BITS = 22
 #: Buckets whose counts are packed and merged at once.
 BLOCK = 1 << 16
+#: Most trusted ids that are broadcast (about 60 MB in each executor); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Pseudo-counts of the target as a share of the n-grams of the corpus.
 PRIOR = 0.5
 #: Mean log-likelihood ratio below which a document is dropped.
@@ -48,7 +50,7 @@ _POINT[0x80:0xC0] = False  # continuation bytes
 def ngrams(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket and row of every hashed uni- and bigram (A-Z lower-cased), n-grams per row."""
     s, e, wo = K.words(data, offsets)
-    w = K.span_hashes(K.prefix_sums(data, K.LOWER_VALUE), s, e)
+    w = K.span_hashes(data, s, e, K.LOWER)
     row = K.row_of(wo)
     pair = np.flatnonzero(row[1:] == row[:-1])
     bucket = np.concatenate([w, K.gram_hashes(w, 2)[pair]]) >> np.uint64(64 - bits)
@@ -59,7 +61,6 @@ def ngrams(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.
 def rules(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The base counts of every row."""
     s, e, wo = K.words(data, offsets)
-    sums = K.prefix_sums(data, K.BYTE_VALUE)
     row = K.row_of(wo)
     n = len(data)
 
@@ -71,7 +72,7 @@ def rules(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     covered = np.zeros(len(s), bool)
     if len(s) >= 3:
         inside = np.flatnonzero(row[2:] == row[:-2])
-        again = _repeats(K.gram_hashes(K.span_hashes(sums, s, e), 3)[inside], row[inside])[0]
+        again = _repeats(K.gram_hashes(K.span_hashes(data, s, e), 3)[inside], row[inside])[0]
         for j in range(3):
             covered[inside[again] + j] = True
     breaks = np.flatnonzero(data == 10)
@@ -81,7 +82,7 @@ def rules(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     ends = np.minimum(np.append(breaks, n)[np.searchsorted(breaks, starts)], offsets[line_row + 1])
     with_word = np.searchsorted(s, ends) > np.searchsorted(s, starts)
     starts, ends, line_row = starts[with_word], ends[with_word], line_row[with_word]
-    later = _repeats(K.span_hashes(sums, starts, ends), line_row)[1]
+    later = _repeats(K.span_hashes(data, starts, ends), line_row)[1]
     return {
         "n_words": np.diff(wo),
         "word_chars": per_row(K.WORD_BYTE[data] & _POINT[data]),
@@ -117,8 +118,9 @@ def train(docs: DataFrame, trusted: DataFrame, bits: int = BITS) -> np.ndarray:
     """Log-likelihood ratio of every bucket: target ``trusted`` (doc_id) against all ``docs``.
 
     Every task adds up its own rows and writes its sums in packed blocks of buckets; the blocks
-    of all tasks are added up by key, and 2**bits pairs of numbers come to the driver. The trusted ids grow with the
-    corpus, so texts and ids are dealt by id.
+    of all tasks are added up by key, and 2**bits pairs of numbers come to the driver. The
+    trusted ids grow with the corpus: they are counted, up to ``BROADCAST_IDS`` of them go to
+    every task, and beyond that texts and ids are dealt by id.
     """
     ship(docs.sparkSession)
     block = min(BLOCK, 1 << bits)
@@ -141,7 +143,8 @@ def train(docs: DataFrame, trusted: DataFrame, bits: int = BITS) -> np.ndarray:
         total = [pa.array([sum(_unpack(x, block) for x in rows.column(k).to_pylist()).tobytes()], pa.binary()) for k in ("raw", "target")]
         return pa.Table.from_arrays([rows.column("at").slice(0, 1), *total], ["at", "raw", "target"])
 
-    marked = docs.select("doc_id", F.col("text").cast("string")).join(chosen.hint("shuffle_hash"), "doc_id", "left").select("text", F.coalesce("mark", F.lit(False)).alias("mark"))
+    ids = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen.hint("shuffle_hash")
+    marked = docs.select("doc_id", F.col("text").cast("string")).join(ids, "doc_id", "left").select("text", F.coalesce("mark", F.lit(False)).alias("mark"))
     kind = "at int, raw binary, target binary"
     rows = marked.mapInArrow(run, kind).groupBy("at").applyInArrow(merge, kind).toArrow().to_pylist()
     raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
