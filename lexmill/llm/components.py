@@ -15,10 +15,10 @@ from lexmill.session import materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is linked to the smallest one."""
+    """Every larger neighbour of a node is linked to the smallest one; an edge may come twice."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -45,3 +45,18 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """``known`` (node, component) after further ``links`` (a, b) between components.
+
+    An end of a link is a component of ``known``, or a node that is in none. Only the graph of
+    the components is solved, which is small where little was left apart.
+    """
+    links = materialise(links.select("a", "b"), "apart")
+    if links.isEmpty():
+        return known
+    more = materialise(components(links), "more")
+    moved = known.join(more.select(F.col("node").alias("component"), F.col("component").alias("__to")), "component", "left").select("node", F.coalesce("__to", "component").alias("component"))
+    fresh = more.join(known.select("node"), "node", "left_anti")
+    return materialise(moved.unionByName(fresh), "known")

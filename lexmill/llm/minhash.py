@@ -23,8 +23,10 @@ at the threshold shares no region in any tree is about (1 - 0.85**4)**16, less t
 
 Defined results: words are split at blank and \\t-\\r and lower-cased in A-Z; a text of fewer
 than ``SHINGLE`` words has one shingle, all its words; null and empty texts have none and
-link with nothing; rows with equal ids are one document and get its result each; rows with
-a null id link with nothing; other columns are ignored or passed through.
+link with nothing; rows with equal ids are one document and get its result each; of their
+texts, if they differ, the one with the smallest set key counts for links, and each row has the
+size of its own set; rows with a null id link with nothing; other columns are ignored or passed
+through; ids must be integers, others raise a TypeError.
 """
 
 from __future__ import annotations
@@ -35,9 +37,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lexmill.llm import kernels as K
-from lexmill.llm.components import components
+from lexmill.llm.components import components, merged
 from lexmill.session import materialise, ship
 
 SHINGLE = 5
@@ -75,6 +78,16 @@ def signatures(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_keys(sets: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """A 128-bit key of every set, as two numbers."""
+    keys = []
+    for salt in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179):
+        c = np.zeros(len(sets) + 1, np.uint64)
+        np.cumsum(K.mix(sets ^ np.uint64(salt)), out=c[1:])
+        keys.append((c[offsets[1:]] - c[offsets[:-1]]).view(np.int64))
+    return keys
+
+
 def _signed(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, k1, k2, sig): size, 128-bit key and minhash values of each set."""
     ship(docs.sparkSession)
@@ -85,11 +98,7 @@ def _signed(docs: DataFrame) -> DataFrame:
             for a, b, d, o in K.slices(data, offsets):
                 h, so = K.shingle_sets(d, o, SHINGLE)
                 sig = signatures(h, so)
-                keys = []
-                for salt in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179):
-                    c = np.zeros(len(h) + 1, np.uint64)
-                    np.cumsum(K.mix(h ^ np.uint64(salt)), out=c[1:])
-                    keys.append((c[so[1:]] - c[so[:-1]]).view(np.int64))
+                keys = set_keys(h, so)
                 packed = pa.Array.from_buffers(pa.binary(4 * VALUES), b - a, [None, pa.py_buffer(np.ascontiguousarray(sig).tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(so)), pa.array(keys[0]), pa.array(keys[1]), packed], ["doc_id", "n_shingles", "k1", "k2", "sig"])
 
@@ -209,7 +218,7 @@ def _regions(reps: DataFrame, kind: str) -> DataFrame:
 
 
 def _apart(regions: DataFrame, reps: DataFrame, sets: DataFrame, known: DataFrame, kind: str, block: int = BLOCK) -> DataFrame:
-    """(a, b): links between members of a region that are in different components.
+    """(a, b): links between the components that members of a region are in.
 
     The largest component of a region needs no pairs of its own, so its blocks meet only the
     blocks of the others; those meet each other too. A pair is looked at in its first common
@@ -218,10 +227,12 @@ def _apart(regions: DataFrame, reps: DataFrame, sets: DataFrame, known: DataFram
     named = regions.join(known.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("region", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     parts = named.groupBy("region", "c").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = mixed.select("region", F.col("top.c").alias("main"), F.ceil(F.col("top.n") / block).alias("nm"), F.ceil((F.col("n") - F.col("top.n")) / block).alias("nk"))
+    mixed = materialise(mixed.select("region", F.col("top.c").alias("main"), F.ceil(F.col("top.n") / block).alias("nm"), F.ceil((F.col("n") - F.col("top.n")) / block).alias("nk")), "mixed")
+    if mixed.isEmpty():
+        return known.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     inside = F.col("c") == F.col("main")
     members = named.join(mixed, "region").withColumn("own", F.when(inside, F.pmod(F.xxhash64("doc_id"), "nm")).otherwise(F.col("nm") + F.pmod(F.xxhash64("doc_id"), "nk")))
-    members = members.join(reps.select("doc_id", "sig"), "doc_id").join(sets, "doc_id")
+    members = materialise(members, "members").join(reps.select("doc_id", "sig"), "doc_id").join(sets, "doc_id")
     meets = members.withColumn("other", F.explode(F.sequence(F.when(inside, F.col("nm")).otherwise(F.lit(0)), F.col("nm") + F.col("nk") - 1)))
     dealt = meets.select("region", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "c", "sig", "shingles")
 
@@ -261,8 +272,8 @@ def _apart(regions: DataFrame, reps: DataFrame, sets: DataFrame, known: DataFram
                 for i in y[100 * shared >= PERCENT * (n[x] + n[y] - shared)]:
                     if group[i - s] != group[x - s]:
                         group[group == group[i - s]] = group[x - s]
-                        a.append(min(ids[x], ids[i]))
-                        b.append(max(ids[x], ids[i]))
+                        a.append(min(c[x], c[i]))
+                        b.append(max(c[x], c[i]))
         return pa.RecordBatch.from_arrays([pa.array(a, rows.schema.field("doc_id").type), pa.array(b, rows.schema.field("doc_id").type)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,26 +311,60 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             data, offsets = K.buffers(batch.column(1))
             for a, b, d, o in K.slices(data, offsets):
                 h, so = K.shingle_sets(d, o, SHINGLE)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(so, pa.int32()), pa.array(h.view(np.int64)))], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, set_keys(h, so)), pa.ListArray.from_arrays(pa.array(so, pa.int32()), pa.array(h.view(np.int64)))], ["doc_id", "k1", "k2", "shingles"])
 
     picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(wanted.hint("merge"), "doc_id", "left_semi")
     kind = picked.schema[0].dataType.simpleString()
-    return picked.mapInArrow(run, f"doc_id {kind}, shingles array<bigint>").dropDuplicates(["doc_id"])
+    found = picked.mapInArrow(run, f"doc_id {kind}, k1 bigint, k2 bigint, shingles array<bigint>").where("size(shingles) > 0")
+    return found.groupBy("doc_id").agg(F.min_by("shingles", F.struct("k1", "k2")).alias("shingles"))
+
+
+def _contracted(links: DataFrame, kind: str) -> DataFrame:
+    """(a, b): the links, with those of each batch of rows as stars around their smallest ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            up: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                top = x
+                while (y := up.setdefault(top, top)) != top:  # noqa: B023
+                    top = y
+                while x != top:
+                    x, up[x] = up[x], top  # noqa: B023
+                return top
+
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = root(x), root(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+            ends = [(x, root(x)) for x in list(up)]
+            ends = [e for e in ends if e[0] != e[1]]
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], batch.schema.field(0).type) for k in (0, 1)], ["a", "b"])
+
+    return links.select("a", "b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets share at least PERCENT of their union."""
-    left = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+    """The pairs (a, b) whose full sets share at least PERCENT of their union, with their other columns."""
+    left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     both = left.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * shared >= PERCENT * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    return both.where(100 * shared >= PERCENT * (F.size("sa") + F.size("sb") - shared)).select(*pairs.columns)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id must be an integer column")
     signed = materialise(_signed(docs), "signed")
     kind = signed.schema["doc_id"].dataType.simpleString()
     full = signed.where("n_shingles > 0 and doc_id is not null")
+    # one set for each id: ids with several are rare, and looked for in the narrow columns alone
+    least = full.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("m"), F.max(F.struct("k1", "k2")).alias("top")).where("m <> top")
+    several = materialise(least.select(F.col("doc_id").alias("id"), F.col("m.k1").alias("m1"), F.col("m.k2").alias("m2")), "several")
+    same_id = F.col("doc_id") == F.col("id")
+    full = full.join(several, same_id & ((F.col("k1") != F.col("m1")) | (F.col("k2") != F.col("m2"))), "left_anti")
     reps = full.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("r"))
     reps = materialise(reps.select("k1", "k2", "r.*"), "classes")
     ordered = _orders(reps, kind).repartitionByRange("tree", "label", "doc_id").sortWithinPartitions("tree", "label", "doc_id")
@@ -329,20 +374,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = materialise(_sets(docs, regions.select("doc_id").distinct()), "sets")
     # first pass: everyone's best candidate, and its smallest
     ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "agree").unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "agree"))
-    best = ends.groupBy("x").agg(F.max(F.struct(F.col("agree"), -F.col("y"))).alias("m"), F.min("y").alias("least")).select("x", F.explode(F.array_distinct(F.array(-F.col("m.col2"), F.col("least")))).alias("y"))
-    first = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = materialise(_confirmed(first, sets), "links")
+    best = ends.groupBy("x").agg(F.min(F.struct(-F.col("agree"), "y")).alias("m"), F.min("y").alias("least")).select("x", F.explode(F.array_distinct(F.array("m.y", "least"))).alias("y"))
+    first = materialise(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "first")
+    links = _contracted(_confirmed(first, sets), kind)
     known = materialise(components(links), "known")
     # second pass: whatever is still apart
     side = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     rest = pairs.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    links = materialise(links.unionByName(_confirmed(rest, sets)), "links")
+    rest = rest.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
+    known = merged(known, _confirmed(rest, sets).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     # exact pass: members of a region in different components
-    late = _apart(regions, reps, sets, materialise(components(links), "known"), kind)
-    member = components(links.unionByName(late))
+    member = merged(known, _apart(regions, reps, sets, known, kind))
     classes = reps.select("k1", "k2", F.col("doc_id").alias("rep")).join(member.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("c"))
-    out = signed.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
+    keyed = signed.select("doc_id", "n_shingles", "k1", "k2").join(several, same_id, "left")
+    out = keyed.select("doc_id", "n_shingles", F.coalesce("m1", "k1").alias("k1"), F.coalesce("m2", "k2").alias("k2")).join(classes, ["k1", "k2"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
