@@ -11,8 +11,8 @@ of redirects. Urls of the same node need no edge.
 
 Defined results: null and urls without ``://`` have an empty host and path, fit no rule and
 are allowed; rows with equal ids or urls are judged one by one; null html has no edges;
-targets are resolved against the page's url after their character references are decoded (a
-``base`` element is not read); empty ones, mere fragments and other schemes without ``://``
+comments, scripts, styles, templates and noscript hold no tags; targets are resolved against the
+page's url after their character references are decoded (a ``base`` element is not read); empty ones, mere fragments and other schemes without ``://``
 are no edges; other columns are ignored.
 """
 
@@ -51,9 +51,9 @@ def node(url: Column) -> Column:
 
 
 def fitting_rule(host_col: Column, path_col: Column, rules=RULES) -> tuple[Column, Column]:
-    """(rule, verdict) of the longest rule that fits, as one chained condition."""
+    """(rule, verdict) of the longest rule that fits, as one chained condition for a short list."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for text, decision in sorted(rules, key=lambda r: (len(r[0]), r[0])):  # longer ones are asked first
+    for text, decision in sorted(rules, key=lambda r: (len(r[0]), *r)):  # longer ones are asked first
         name, _, tail = text.partition("/")
         fits = ((host_col == name) | host_col.endswith("." + name)) & path_col.startswith("/" + tail)
         rule = F.when(fits, F.lit(text)).otherwise(rule)
@@ -61,6 +61,33 @@ def fitting_rule(host_col: Column, path_col: Column, rules=RULES) -> tuple[Colum
     return rule, verdict
 
 
+def longest_rules(names: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, path, rule, verdict) of all distinct names (host, path) that a rule of the table
+    ``rules`` (rule, verdict) fits.
+
+    Names meet rules by equal keys alone: every suffix of the host that has rules, with the
+    path's prefix of every length that those rules have. No list of rules is too long for it,
+    and a host with many rules is dealt by their paths.
+    """
+    tail = F.substring("rule", F.length(F.substring_index("rule", "/", 1)) + 2, F.length("rule"))
+    table = rules.select("rule", "verdict", F.substring_index("rule", "/", 1).alias("name"), F.concat(F.lit("/"), tail).alias("start"))
+    sizes = table.groupBy("name").agg(F.collect_set(F.length("start")).alias("sizes"))
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    ends = names.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("name"))
+    starts = ends.join(sizes, "name").select("host", "path", "name", F.explode("sizes").alias("n")).where(F.length("path") >= F.col("n"))
+    hits = starts.withColumn("start", F.substring(F.col("path"), F.lit(1), F.col("n"))).join(table, ["name", "start"])
+    return hits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("r")).select("host", "path", "r.rule", "r.verdict")
+
+
+def with_rule(names: DataFrame, rules) -> DataFrame:
+    """``names`` with the ``rule`` that fits host and path, and its verdict as ``own``; null without one."""
+    if not isinstance(rules, DataFrame):
+        rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
+        return names.withColumns({"rule": rule, "own": verdict})
+    return names.join(longest_rules(names, rules).withColumnRenamed("verdict", "own"), ["host", "path"], "left")
+
+
 _ATTRIBUTE = r"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
 
 
@@ -134,11 +161,17 @@ def _resolved(t: Column, url: Column) -> Column:
     )
 
 
+#: What holds no tags of the page itself.
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\z)"
+#: A tag to its end; a > in a quoted value is no end (for the first 500 values).
+_TAG = r"""(?is)<(?:link|meta)\b[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+){0,500}+>"""
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
     """(a, b): canonical links and refresh redirects of the pages, as nodes."""
     tags = (
         pages.where(F.col("url").isNotNull() & (F.col("html").rlike(r"(?i)canonical") | F.col("html").rlike(r"(?i)http-equiv")))
-        .select("url", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("tag"))
+        .select("url", F.explode(F.regexp_extract_all(F.regexp_replace("html", _HIDDEN, " "), F.lit(_TAG), F.lit(0))).alias("tag"))
     )
     rel = F.split(F.lower(_attribute(F.col("tag"), "rel")), r"\s+")
     canonical = F.when(F.array_contains(rel, "canonical"), unescape(_attribute(F.col("tag"), "href")))
@@ -150,6 +183,8 @@ def page_edges(pages: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict, and ``alias_of`` (its component).
 
+    ``rules`` are pairs (rule, verdict), for short lists, or a table of them of any length; of a
+    rule with both verdicts, block holds.
     ``redirects`` (source, target) are further urls known to redirect to each other.
     """
     edges = page_edges(pages)
@@ -157,13 +192,12 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
         edges = edges.unionByName(redirects.select(node(F.col("source")).alias("a"), node(F.col("target")).alias("b")).where("a is not null and b is not null and a <> b"))
     edges = materialise(edges.distinct(), "aliases")
     h, p = host(F.col("url")), path(F.col("url"))
-    rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
-    named = pages.select("page_id", h.alias("host"), p.alias("path"), node(F.col("url")).alias("node")).withColumns({"rule": rule, "own": verdict})
+    named = with_rule(pages.select("page_id", h.alias("host"), p.alias("path"), node(F.col("url")).alias("node")), rules)
     member = components(edges)
     # every node of the graph has a name, so it is judged by the rules whether it has a page or not
     name_host, name_path = F.regexp_extract("node", r"\A[^/?#]*", 0), F.regexp_extract("node", r"\A[^/?#]*([^?#]*)", 1)
     blocked = (
-        member.withColumn("own", fitting_rule(name_host, name_path, rules)[1])
+        with_rule(member.withColumns({"host": name_host, "path": name_path}), rules)
         .groupBy("component")
         .agg(F.max(F.when(F.col("own") == "block", 1).otherwise(0)).alias("blocked"))
     )
