@@ -9,7 +9,7 @@ e-mails, keys and passwords) are voted on by labelers that may abstain:
 * context labelers: words close before the candidate.
 
 Expectation-maximisation over the counts of vote patterns in the whole corpus estimates how
-reliable each labeler is, without labels; its posteriors then train a logistic span
+reliable each labeler is for each kind, without labels; its posteriors then train a logistic span
 classifier on shape features, which decides on every candidate. Votes and features are small
 categories, so the whole corpus is summed up exactly in a few thousand counted patterns.
 
@@ -26,6 +26,7 @@ from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -100,7 +101,7 @@ SECRET_WORDS = ("password", "passwd", "pwd", "token", "secret", "key", "apikey",
 PLAIN_WORDS = ("version", "license", "licence", "copyright", "isbn", "page", "chapter", "section", "figure", "table", "rfc")
 
 _CANDIDATES = (
-    (0, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{1,63})+")),
+    (0, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]++)++")),
     (3, re.compile(r"(?<![0-9+.-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])")),
     (4, re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{8,}+(?![A-Za-z0-9])")),
     (4, re.compile(r"(?<![A-Za-z0-9])(?:gh[opsu]_|glpat-|sk_live_|sk_test_|xox[bp]-|AIza|eyJ)[A-Za-z0-9_.-]{8,}+")),
@@ -125,22 +126,19 @@ _HINTS = (
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the looser patterns that touch no base span and no other candidate."""
     digit = _DIGIT.search(text) is not None
-    out = []
+    starts = [s for s, _, _ in base]
+    reach = list(accumulate((e for _, _, e in base), max))  # the furthest end so far
+    out: list[tuple[int, int, int]] = []  # apart from each other, so their ends are in order too
     for (kind, pattern), hint in zip(_CANDIDATES, _HINTS, strict=True):
         if hint(text, digit):
             for m in pattern.finditer(text):
                 s, e = m.span(1) if pattern.groups else m.span()
-                if _free(base, s, e) and _free(out, s, e):
+                at, own = bisect_left(starts, e), bisect_left(out, (e,))
+                if (not at or reach[at - 1] <= s) and (not own or out[own - 1][2] <= s):
                     insort(out, (s, kind, e))
     return out
 
 
-def _free(spans: list[tuple[int, int, int]], start: int, end: int) -> bool:
-    """No span of the sorted list touches start to end (spans of a kind don't overlap)."""
-    at = bisect_left(spans, (end,))
-    return all(e <= start for _, _, e in spans[max(0, at - 2 * len(KINDS)) : at])
-
-
 def votes(text: str, start: int, kind: int, end: int) -> tuple[int, ...]:
     """One vote of each labeler: 1 for, -1 against, 0 abstains."""
     span, before = text[start:end], text[max(0, start - 32) : start].lower()
@@ -181,11 +179,11 @@ N_VOTES = 5
 
 @dataclass
 class SpanModel:
-    """Weights over one-hot categories; reliabilities for the record."""
+    """Weights over one-hot categories; reliabilities of each kind's labelers for the record."""
 
     weights: dict[tuple[int, int], float] = field(default_factory=dict)
     bias: float = -10.0
-    reliability: dict[int, tuple[float, float]] = field(default_factory=dict)
+    reliability: dict[tuple[int, int], tuple[float, float]] = field(default_factory=dict)
 
     def probability(self, pattern: tuple[int, ...]) -> float:
         z = self.bias + sum(self.weights.get((i, v), 0.0) for i, v in enumerate(pattern))
@@ -219,7 +217,13 @@ def fit(counts: Counter, rounds: int = 400, rate: float = 0.3, ridge: float = 1e
     if not counts:
         return SpanModel()
     patterns = sorted(counts)
-    post, reliability = estimate(counts)
+    # a labeler asks something else of every kind, so each kind has its own reliabilities
+    parts, reliability = [], {}
+    for kind in sorted({p[0] for p in patterns}):
+        found, own = estimate(Counter({p: counts[p] for p in patterns if p[0] == kind}))
+        parts.append(found)
+        reliability.update({(kind, i): pair for i, pair in own.items()})
+    post = np.concatenate(parts)  # patterns are sorted by kind
     n = np.array([counts[p] for p in patterns], float)
     n /= n.sum()
     names = sorted({(i, v) for p in patterns for i, v in enumerate(p)})
