@@ -220,10 +220,10 @@ def codec(path: str) -> FragmentCodec:
     return _codecs[path]
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_text: bool = True) -> DataFrame:
     """Per row: id, ``ids`` (array<int>), ``decoded`` (string), and their digests.
 
-    ``with_ids=False`` leaves the two wide columns out. One pass, no shuffle: every row is
+    ``with_ids=False`` and ``with_text=False`` leave out a wide column each. One pass, no shuffle: every row is
     encoded where it was read.
     """
     ship(docs.sparkSession)
@@ -245,15 +245,19 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 text_sha.append(hashlib.sha256(back).hexdigest())
                 if with_ids:
                     ids.append(np.frombuffer(packed, "<u4").astype(np.int32))
+                if with_text:
                     decoded.append(back.decode())
             columns = [batch.column(0), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-                names += ["ids", "decoded"]
+                columns.append(pa.array(ids, pa.list_(pa.int32())))
+                names.append("ids")
+            if with_text:
+                columns.append(pa.array(decoded, pa.string()))
+                names.append("decoded")
             yield pa.RecordBatch.from_arrays(columns, names)
 
     source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     kind = source.schema[0].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
+    schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "") + (", decoded string" if with_text else "")
     return source.mapInArrow(run, schema)

@@ -33,7 +33,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 @query
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, and what they decode to."""
-    return bpe.encode_documents(read_table(spark, sf_dir, "documents"), vocabulary_path(), with_ids=False)
+    return bpe.encode_documents(read_table(spark, sf_dir, "documents"), vocabulary_path(), with_ids=False, with_text=False)
 
 
 @query
@@ -172,7 +172,60 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+# by a prefix-filtered join on whole shingles
+ORACLES["op7_minhash"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), sets AS (
+  SELECT doc_id, n, sha256(string_agg(g, chr(10) ORDER BY g)) AS k FROM s JOIN n USING (doc_id) GROUP BY doc_id, n
+), reps AS (
+  SELECT k, min(doc_id) AS rep, any_value(n) AS n FROM sets GROUP BY k
+), r AS (
+  SELECT rep, n, g, count(*) OVER (PARTITION BY g) AS f FROM s JOIN reps ON doc_id = rep
+), p AS (
+  SELECT rep, n, g FROM (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY f, g) AS i FROM r) WHERE i <= n - ceil(0.85 * n) + 1
+), c AS (
+  SELECT DISTINCT a.rep AS a, b.rep AS b FROM p a JOIN p b ON a.g = b.g AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+), links AS (
+  SELECT a, b FROM c JOIN r x ON x.rep = a JOIN r y ON y.rep = b AND y.g = x.g GROUP BY a, b
+  HAVING 100 * count(*) >= 85 * (any_value(x.n) + any_value(y.n) - count(*))
+), e AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach(x, y) AS (
+  SELECT DISTINCT a, a FROM e UNION SELECT r.x, e.b FROM reach r JOIN e ON r.y = e.a
+), comp AS (
+  SELECT x, min(y) AS m FROM reach GROUP BY x
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m, rep, d.doc_id) AS component_id, coalesce(m, rep, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN sets USING (doc_id) LEFT JOIN reps USING (k) LEFT JOIN comp ON x = rep
+"""
+
+
 @query
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that repeat earlier ones."""
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
+# by the whole bytes of every window, in hexadecimal
+ORACLES["op6_suffix_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents
+), w AS (
+  SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM d WHERE n >= 100)
+), hit AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS rn FROM w) WHERE rn > 1
+), runs AS (
+  SELECT doc_id, min(i) AS s, max(i) + 100 AS e FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run
+    FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS fresh FROM hit)) GROUP BY doc_id, run
+), gone AS (
+  SELECT doc_id, count(*) AS n_spans, sum(e - s)::BIGINT AS n_removed, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es FROM runs GROUP BY doc_id
+)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN ss IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(ss) + 1), lambda j: substr(h, 2 * (CASE WHEN j = 0 THEN 0 ELSE es[j] END) + 1, 2 * ((CASE WHEN j = len(ss) THEN n ELSE ss[j + 1] END) - (CASE WHEN j = 0 THEN 0 ELSE es[j] END)))), '') END)) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""

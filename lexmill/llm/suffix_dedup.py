@@ -17,20 +17,27 @@ their earlier matches must be:
    certain. The rest travel as (anchor, fingerprint, id, place), packed per bucket of
    anchors, without their bytes. In a bucket, equal pieces collapse again, and an anchor
    with a single piece left is done: its windows occur nowhere else.
-3. Pieces that share an anchor and differ (the borders of copies) fetch their bytes, meet by
-   anchor, and their suffixes are sorted; LPF tells which starts repeat.
+3. Pieces that share an anchor and differ (the borders of copies) fetch their bytes and meet
+   by anchor. Their suffixes, to the pieces' ends, are put in order with their common prefixes,
+   and LPF tells which starts repeat.
 
 An anchor with many different pieces (a phrase in a third of all documents) doesn't meet in
-one task: its windows go by the hash of their whole ``LENGTH`` bytes instead, and equal ones
-collapse in each task before they travel.
+one task: its pieces go by their fingerprints and its windows by the hash of their whole
+``LENGTH`` bytes instead, and equal ones collapse before they travel.
+
+Equal pieces are known by their 64-bit anchor hash, their 64-bit fingerprint and their size; no
+byte of them is compared. Of n pieces, two different ones look equal with a chance of about
+n * n / 2**129, below 1 in 10**12 for 10**13 pieces. Everything else is compared byte by byte.
 
 Defined results: null and empty texts and texts shorter than ``LENGTH`` bytes lose nothing;
 rows with a null id are returned as they are and are no source of repeats; rows with equal
-ids and texts count as one document and get its result each; bytes are UTF-8.
+ids and texts count as one document and get its result each; bytes are UTF-8; ids must be
+integers, others raise a TypeError.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -38,6 +45,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lexmill.llm import kernels as K
 from lexmill.session import ship
@@ -52,6 +60,8 @@ CROWDED_HERE = 48
 CROWDED = 2000
 #: Bytes that are hashed at once; fewer than 2**20, the places that fit beside a hash.
 CHUNK = 1 << 19
+#: Bytes of text whose pieces share a bucket, and the most buckets (plans may overstate their size).
+BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 1 << 20
 #: Pieces that a task gathers before it sends them.
 GATHER = 3_000_000
 
@@ -61,41 +71,28 @@ _SPAN = LENGTH - ANCHOR  # a window's anchor starts at most this far behind the
 # ---------------------------------------------------------------- suffix arrays and LPF
 
 
-def suffix_array(data: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Suffixes in order by prefix doubling, to ``depth`` bytes (equal ones by place)."""
-    n = len(data)
-    depth = n if depth is None else depth
-    rank = data.astype(np.int64) + 1
-    order = np.argsort(rank, kind="stable")
-    reach = 1
-    while reach < depth and n:
-        second = np.zeros(n, np.int64)
-        second[: n - reach] = rank[reach:] if reach < n else 0
-        order = np.lexsort((second, rank))
-        a, b = rank[order], second[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate([[1], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        rank = new
-        reach *= 2
-        if rank.max() == n:
-            break
-    return order
-
-
-def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """Common prefix of each suffix with the one before it in order, up to ``depth``."""
-    n = len(order)
-    lcp = np.zeros(n, np.int64)
-    live = np.arange(1, n)
-    for step in range(depth):
-        a, b = order[live] + step, order[live - 1] + step
-        ok = (a < len(data)) & (b < len(data))
-        ok[ok] = data[a[ok]] == data[b[ok]]
-        live = live[ok]
-        if not len(live):
-            break
-        lcp[live] += 1
-    return lcp
+def suffix_order(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes ``text[starts[i]:ends[i]]`` in order (equal ones as given), and the common
+    prefix of each with the one before it in that order.
+
+    Suffixes are those of short pieces, so they are compared to their ends at once.
+    """
+    m = len(starts)
+    size = ends - starts
+    width = int(size.max()) if m else 0
+    if not width:
+        return np.arange(m), np.zeros(m, np.int64)
+    padded = np.concatenate([text, np.zeros(width, np.uint8)])
+    rows = np.lib.stride_tricks.sliding_window_view(padded, width)[starts]
+    # bytes of UTF-8 are below 255, so one more leaves zero for the ends
+    rows = np.where(np.arange(width) < size[:, None], rows + np.uint8(1), np.uint8(0))
+    order = np.argsort(rows.view(f"S{width}").ravel(), kind="stable")
+    rows, size = rows[order], size[order]
+    lcp = np.zeros(m, np.int64)
+    differ = rows[1:] != rows[:-1]
+    at = differ.argmax(1)
+    lcp[1:] = np.where(differ[np.arange(m - 1), at], at, size[1:])
+    return order, lcp
 
 
 def longest_previous_factor(position: np.ndarray, lcp: np.ndarray) -> np.ndarray:
@@ -127,35 +124,36 @@ def longest_previous_factor(position: np.ndarray, lcp: np.ndarray) -> np.ndarray
     return np.asarray(best, np.int64)
 
 
-def repeated_starts(windows: np.ndarray, position: np.ndarray) -> np.ndarray:
-    """Which windows (rows of bytes) have an equal one at a smaller position.
+def previous_factors(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, position: np.ndarray) -> np.ndarray:
+    """LPF of every suffix, where it is ``LENGTH`` or more; 0 elsewhere.
 
-    The rows are put in suffix order (to their length); neighbours with a full common prefix
-    form runs, outside of which LPF is shorter than a window, and LPF is taken in the runs.
+    Neighbours with shorter common prefixes part the order into runs, and no longer match
+    crosses from one run to another, so LPF is taken in the runs alone.
     """
-    m, width = windows.shape
-    out = np.zeros(m, bool)
-    if m < 2:
-        return out
-    # bytes of UTF-8 are below 255, so that one more makes none of them an ending zero
-    order = np.argsort(np.ascontiguousarray(windows + np.uint8(1)).view(f"S{width}").ravel(), kind="stable")
-    rows = windows[order]
-    same = (rows[1:] == rows[:-1]).all(1)
-    inside = np.zeros(m, bool)
-    inside[1:] |= same
-    inside[:-1] |= same
-    at = np.flatnonzero(inside)
+    out = np.zeros(len(starts), np.int64)
+    order, lcp = suffix_order(text, starts, ends)
+    long = lcp >= LENGTH
+    at = np.flatnonzero(long | np.append(long[1:], False))
     if len(at):
-        lcp = np.zeros(m, np.int64)
-        lcp[1:][same] = width
-        place = order[at]
-        out[place] = longest_previous_factor(position[place], lcp[at]) >= width
+        best = longest_previous_factor(position[order[at]], np.where(long, lcp, 0)[at])
+        out[order[at]] = best
     return out
 
 
 # ---------------------------------------------------------------- anchors and pieces
 
 
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd multiplier and of its inverse, modulo 2**64, for the places of a chunk."""
+    made = []
+    for base in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)):
+        p = np.full(CHUNK + LENGTH, base, np.uint64)
+        p[0] = 1
+        made.append(np.cumprod(p))
+    return made[0], made[1]
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Pieces of the rows: row, first start (in the row), starts, anchor hash, fingerprint.
 
@@ -165,7 +163,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     n, at, size = len(data), 0, len(offsets)
     if n < LENGTH:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    pow_up, pow_down = K.powers(CHUNK + LENGTH)
+    pow_up, pow_down = _powers()
     wide = np.zeros(n + 8, np.uint8)
     wide[:n] = data
     while at + LENGTH <= n:
@@ -248,15 +246,16 @@ def _found(parts: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
 def _extract(docs: DataFrame, buckets: int, crowded_here: int) -> DataFrame:
     """(bucket, kind, blob): pieces packed by anchor bucket, and repeats found at once.
 
-    kind 0: pieces; 1: repeated; 2: pieces of crowded anchors; 3: crowded anchors.
+    kind 0: pieces, by anchor; 1: repeated, by document; 2: pieces of crowded anchors, by
+    fingerprint; 3: crowded anchors.
     """
 
     def send(p: np.ndarray) -> pa.RecordBatch:
         p, first, later = collapse(p)
         bucket, kind, blob = [], [], []
 
-        def pack(rows: np.ndarray, what: int) -> None:
-            b = ((rows["h"] >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
+        def pack(rows: np.ndarray, what: int, by: np.ndarray) -> None:
+            b = ((by >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(b, kind="stable")
             rows, b = rows[order], b[order]
             edge = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]])) if len(b) else np.zeros(1, np.int64)
@@ -267,10 +266,13 @@ def _extract(docs: DataFrame, buckets: int, crowded_here: int) -> DataFrame:
 
         heads = p[first]
         crowded = distinct_prints(heads["h"]) > crowded_here
-        pack(heads[~crowded], 0)
-        pack(p[~first & later], 1)
-        pack(heads[crowded], 2)
-        pack(heads[crowded][np.unique(heads["h"][crowded], return_index=True)[1]], 3)
+        again, crowd = p[~first & later], heads[crowded]
+        one_each = crowd[np.unique(crowd["h"], return_index=True)[1]]
+        pack(heads[~crowded], 0, heads["h"][~crowded])
+        # what a third of all documents may share goes by what tells its rows apart
+        pack(again, 1, K.mix(again["doc"].view(np.uint64)))
+        pack(crowd, 2, crowd["f"])
+        pack(one_each, 3, one_each["h"])
         return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], ["bucket", "kind", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +314,9 @@ def _resolve(packed: DataFrame, crowded: int) -> DataFrame:
         shared = distinct_prints(heads["h"])
         marked = np.isin(heads["h"], get(3)["h"])
         crowd = marked | (shared > crowded)
-        return _found([(p[~first & later], REPEATED), (get(1), REPEATED), (heads[crowd], CROWD), (get(2), CROWD), (heads[~crowd & (shared > 1)], OPEN)])
+        q, q_first, q_later = collapse(get(2))
+        again = [p[~first & later], q[~q_first & q_later], get(1)]
+        return _found([*((x, REPEATED) for x in again), (heads[crowd], CROWD), (q[q_first], CROWD), (heads[~crowd & (shared > 1)], OPEN)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
@@ -374,8 +378,8 @@ def _fetch(open_docs: DataFrame) -> DataFrame:
     return open_docs.mapInArrow(run, _PARTS)
 
 
-#: Bytes of windows that are sorted at once.
-SORT_BYTES = 64 << 20
+#: Suffixes that are sorted at once; each takes up to 2 * LENGTH bytes.
+SORT_ROWS = 300_000
 
 
 def _compare(parts: DataFrame) -> DataFrame:
@@ -392,14 +396,12 @@ def _compare(parts: DataFrame) -> DataFrame:
         begin = np.cumsum(size) - size
         piece = np.repeat(np.arange(len(rows)), n)
         step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        at = begin[piece] + step
-        windows = np.lib.stride_tricks.sliding_window_view(text, LENGTH)[at]
         doc, lo = np.array([r[1] for r in rows])[piece], np.array([r[2] for r in rows])[piece] + step
-        place = np.zeros(len(at), np.int64)  # equal places have equal numbers
+        place = np.zeros(len(piece), np.int64)  # equal places have equal numbers
         order = np.lexsort((lo, doc))
         new = np.concatenate([[False], (doc[order][1:] != doc[order][:-1]) | (lo[order][1:] != lo[order][:-1])])
         place[order] = np.cumsum(new)
-        hit = np.flatnonzero(repeated_starts(windows, place))
+        hit = np.flatnonzero(previous_factors(text, begin[piece] + step, (begin + size)[piece], place) >= LENGTH)
         if not len(hit):
             return []
         edge = np.concatenate([[True], (piece[hit][1:] != piece[hit][:-1]) | (hit[1:] != hit[:-1] + 1)])
@@ -420,12 +422,12 @@ def _compare(parts: DataFrame) -> DataFrame:
                 if r[4] == REPEATED:
                     ready.append(r[1:4])
                     continue
-                if r[0] != key and size > SORT_BYTES:
+                if r[0] != key and size > SORT_ROWS:
                     ready += close(rows)
                     rows, size = [], 0
                 key = r[0]
                 rows.append((r[0], r[1], r[2], r[3], r[5]))
-                size += r[3] * LENGTH
+                size += r[3]
             yield emit(ready)
         yield emit(close(rows))
 
@@ -476,13 +478,17 @@ def _finish(joined: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, buckets: int | None = None, crowded_here: int = CROWDED_HERE, crowded: int = CROWDED) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed ``spans``.
 
-    ``buckets`` of anchors: by default eight for every shuffle partition. One plan without
-    driver-side steps; its two joins with the texts share one exchange of them.
+    ``buckets`` of anchors: by default eight for every shuffle partition, and more if their
+    share of the input would exceed ``BUCKET_BYTES``. One plan without driver-side steps; its
+    two joins with the texts share one exchange of them.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id must be an integer column")
     spark = docs.sparkSession
     ship(spark)
     if buckets is None:
-        buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        buckets = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // BUCKET_BYTES, MOST_BUCKETS))
     kind = docs.schema["doc_id"].dataType.simpleString()
     # renamed columns: an alias of the same name is dropped in one branch only, and the exchange not shared
     every = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("body"))

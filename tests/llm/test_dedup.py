@@ -176,12 +176,36 @@ def test_lpf_equals_brute_force():
     random.seed(4)
     for _ in range(150):
         s = bytes(random.choice(b"ab") for _ in range(random.randint(1, 40)))
-        data = np.frombuffer(s, np.uint8)
-        order = suffix_dedup.suffix_array(data)
-        assert [s[i:] for i in order] == sorted(s[i:] for i in range(len(s)))
-        lpf = suffix_dedup.longest_previous_factor(order, suffix_dedup.common_prefixes(data, order, len(s)))
+        n = len(s)
+        order, lcp = suffix_dedup.suffix_order(np.frombuffer(s, np.uint8), np.arange(n), np.full(n, n))
+        assert [s[i:] for i in order] == sorted(s[i:] for i in range(n))
+        common = lambda i, j: next(x for x in range(n - max(i, j) + 1) if x == n - max(i, j) or s[i + x] != s[j + x])  # noqa: B023, E731
+        assert lcp.tolist() == [0, *(common(i, j) for i, j in zip(order[:-1], order[1:], strict=True))]
+        lpf = suffix_dedup.longest_previous_factor(order, lcp)
         for k, i in enumerate(order):
-            assert lpf[k] == max([0] + [next(x for x in range(len(s) - i + 1) if x == len(s) - i or s[i + x] != s[j + x]) for j in range(i)])
+            assert lpf[k] == max([0] + [common(i, j) for j in range(i)])
+
+
+def test_long_previous_factors_of_pieces():
+    rng = np.random.default_rng(3)
+    text = rng.integers(97, 99, 900).astype(np.uint8)
+    text[400:560], text[700:850] = text[100:260], text[120:270]
+    starts, ends = [], []
+    for lo, hi in ((90, 260), (395, 565), (695, 860)):
+        starts += range(lo, hi - 99)
+        ends += [hi] * (hi - 99 - lo)
+    starts, ends = np.array(starts), np.array(ends)
+    place = rng.permutation(2000)[: len(starts)]  # any order of places
+    got = suffix_dedup.previous_factors(text, starts, ends, place)
+    t = text.tobytes()
+    for i, (s, e) in enumerate(zip(starts, ends, strict=True)):
+        best = 0
+        for j in np.flatnonzero(place < place[i]):
+            x = 0
+            while x < min(e - s, ends[j] - starts[j]) and t[s + x] == t[starts[j] + x]:
+                x += 1
+            best = max(best, x)
+        assert got[i] == (best if best >= 100 else 0)
 
 
 @pytest.mark.parametrize("limits", [(48, 2000), (2, 3), (10_000, 3), (3, 10_000)])
@@ -233,7 +257,7 @@ def test_decontamination_equals_brute_force(spark):
     items = [(i, random.choice([" ", ", ", "--"]).join(some(random.choice([1, 2, 4, 5, 12, 13, 20, 40])))) for i in range(25)] + [(98, None), (99, ""), (100, "?!")]
     items.append((97, items[0][1]))
     docs = [(i, " ".join(some(random.randint(0, 60)) + (items[i % 25][1].upper() if i % 3 else items[i % 25][1]).split() + some(5))) for i in range(60)]
-    docs += [(900, None), (901, ""), (902, "... ")]
+    docs += [(900, None), (901, ""), (902, "... "), (903, "."), (904, "a"), (905, ".a"), (906, "a."), (907, "the É " * 2000)]
     d = spark.createDataFrame([(*r, 0) for r in docs], "doc_id long, text string, start int")
     b = spark.createDataFrame(items, "item_id long, text string")
     want = brute_hits(docs, items)
