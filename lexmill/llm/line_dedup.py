@@ -9,8 +9,9 @@ ones are removed.
 
 Defined results: a line counts by its text without outer blanks, tabs and carriage returns;
 lines of nothing else are never removed; null text stays null and has no lines; a null
-source is a site of its own; rows whose doc_id is null are returned unchanged; rows with
-equal ids are one document for the order of occurrences; other columns pass through.
+source is a site of its own; rows whose doc_id is null are returned unchanged; lines of rows
+with equal ids are ordered by position, then by a hash of the row's text, and every row loses its
+own lines alone; rows with equal ids and texts are one document; other columns pass through.
 """
 
 from __future__ import annotations
@@ -35,22 +36,27 @@ def _key(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, site, pos, key) of every line that is not blank.
+    """(doc_id, row, site, pos, key) of every line that is not blank.
 
-    Sites are never empty strings, which sketches leave out.
+    ``row`` tells texts with the same id apart. Sites are never empty strings, which sketches
+    leave out.
     """
+    text = F.col("text").cast("string")
     return (
         docs.where("doc_id is not null")
-        .select("doc_id", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-")).alias("site"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("pos", "line"))
-        .select("doc_id", "site", "pos", _key(F.col("line")).alias("key"))
+        .select("doc_id", F.xxhash64(text).alias("row"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-")).alias("site"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+        .select("doc_id", "row", "site", "pos", _key(F.col("line")).alias("key"))
         .where("key is not null")
     )
 
 
-def boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
+#: Where a line stands, in the order of occurrences.
+_PLACE = ("doc_id", "pos", "row")
+
+
+def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
     """(key, first) of every line on at least ``sites`` sites; first is its first occurrence."""
-    lines = lines_of(docs)
-    spread = lines.groupBy("key").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.min(F.struct("doc_id", "pos")).alias("first"))
+    spread = lines.groupBy("key").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.min(F.struct(*_PLACE)).alias("first"))
     estimated = spread.select("key", "first", F.hll_sketch_estimate("sketch").alias("estimate")).where(F.col("estimate") >= sites * (1 - BAND))
     estimated = materialise(estimated, "spread")
     near = estimated.where(F.col("estimate") <= sites * (1 + BAND))
@@ -66,10 +72,14 @@ def boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
-    """(doc_id, removed): the positions of each document's removed lines."""
+    """(doc_id, row, removed): the positions of each text's removed lines.
+
+    Texts are split and hashed once; the lines' places and hashes are written and read again.
+    """
+    lines = materialise(lines_of(docs), "lines")
     # the keys of boilerplate lines are far fewer than lines; the planner broadcasts them when their size allows
-    later = lines_of(docs).join(boilerplate(docs, sites), "key").where(F.struct("doc_id", "pos") > F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_set("pos").alias("removed"))
+    later = lines.join(boilerplate(lines, sites), "key").where(F.struct(*_PLACE) > F.col("first"))
+    return later.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, sites: int = SITES, details: bool = False) -> DataFrame:
@@ -78,8 +88,8 @@ def dedup_lines(docs: DataFrame, sites: int = SITES, details: bool = False) -> D
     ``details=True`` adds ``n_lines`` (all lines) and ``n_removed``.
     """
     own = docs.columns
-    hits = removed_lines(docs, sites).select(F.col("doc_id").alias("__id"), F.col("removed").alias("__removed"))
-    joined = docs.join(hits, F.col("doc_id") == F.col("__id"), "left")
+    hits = removed_lines(docs, sites).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("removed").alias("__removed"))
+    joined = docs.join(hits, (F.col("doc_id") == F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__row")), "left")
     lines = F.split(F.col("text").cast("string"), "\n", -1)
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed")), lambda i: F.get(lines, i)), "\n")
     text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept)
