@@ -2,8 +2,9 @@
 
 A byte pair that never stands inside any vocabulary token is a certain cut: no merge can
 ever cross it. Texts are cut there, every fragment is encoded by itself, and the ids are
-concatenated. Fragments repeat (words, mostly), so most of them come from a bounded cache
-and only new ones reach the tokenizers library.
+concatenated: first in front of blanks and newlines, then every fragment at all its other
+certain cuts. Fragments repeat (words, mostly), so most come from a bounded cache, and only the
+parts of new ones are merged.
 
 Merging itself is done by a rank merger (tiktoken) when the file's merges are in rank order,
 else by the tokenizers library; special strings and characters whose Unicode class differs
@@ -43,8 +44,6 @@ from lexmill.session import ship
 CACHE_ENTRIES = 200_000
 #: Longer fragments are encoded but not kept.
 CACHE_CHARS = 48
-#: Fragments longer than this are cut again between characters that are no blanks.
-LONG_CHARS = 24
 #: Texts are taken in groups of about so many characters.
 GROUP_CHARS = 1_000_000
 
@@ -66,6 +65,10 @@ _WHITE = "\t\n\x0b\x0c\r \x85\xa0"
 _SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "\x1c\x1d\x1e\x1f\x85᠎​⁠﻿"
 
 
+_BLANK = np.array([chr(b) in _SPACES and b < 0x80 for b in range(256)])
+_ALNUM = np.array([b < 0x80 and chr(b).isalnum() for b in range(256)])
+
+
 def _set(kind: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(STABLE) if unicodedata.category(chr(c))[0] == kind)
 
@@ -112,6 +115,7 @@ class FragmentCodec:
         self._odd = re.compile(rf"[{other}](?:[{self.cuts or other}]|\Z)").search
         self._ends_odd = re.compile(rf"[{other}]\Z").search
         self._special = re.compile("|".join(map(re.escape, self.special))).search if self.special else None
+        self._wide_space = re.compile("[" + re.escape("".join(c for c in _SPACES if ord(c) >= 0x80)) + "]").search
         self.unsure = re.compile(f"[^\\x00-{chr(STABLE - 1)}]").search
         self.merger = self._merger(path, added)
         self.cache: dict[str, bytes] = {}
@@ -160,24 +164,44 @@ class FragmentCodec:
         """Without special strings and characters of unsure class."""
         return not (self.unsure(part) or self._special and self._special(part))
 
+    def _cut(self, fragments: list[str]) -> list[list[str]]:
+        """``parts`` of many fragments: the pairs of all of them are looked up at once."""
+        data = [f.encode() for f in fragments]
+        size = np.array([len(d) for d in data])
+        end = np.cumsum(size)
+        text = np.frombuffer(b"".join(data), np.uint8)
+        a, b = text[:-1], text[1:]
+        cut = self.never[a, b] & ((b & 0xC0) != 0x80) & ~_BLANK[a] & ~_BLANK[b] & (a != 0x27) & ((b != 0x27) | _ALNUM[a])
+        cut[end[:-1] - 1] = False  # where one fragment ends and the next begins
+        at = np.flatnonzero(cut) + 1
+        out = [[f] for f in fragments]
+        if not len(at):
+            return out
+        owner = np.searchsorted(end, at, "right")
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        at = (at - (end - size)[owner]).tolist()
+        for i, lo, hi in zip(owner[first].tolist(), first.tolist(), [*first[1:].tolist(), len(at)], strict=True):
+            d, edges = data[i], [0, *at[lo:hi], None]
+            out[i] = [d[s:e].decode() for s, e in zip(edges[:-1], edges[1:], strict=True)]
+        return out
+
     def _resolve(self, fragments: set[str]) -> dict[str, bytes]:
-        out, cut = {}, {}
         merge = self.merger.encode_ordinary if self.merger is not None else None
-        for f in fragments:
-            if len(f) <= LONG_CHARS and merge is not None and self.plain(f):
-                out[f] = array("I", merge(f)).tobytes()
-            else:
-                cut[f] = self.parts(f)
-        ids, other = {}, []
-        for p in {p for ps in cut.values() for p in ps}:
-            if merge is not None and self.plain(p):
-                ids[p] = array("I", merge(p)).tobytes()
-            else:
-                other.append(p)
+        whole, rest = list(fragments), []
+        joined = "\0".join(whole)  # one search for all of them; most groups have nothing odd
+        if self._special and self._special(joined) or self._wide_space(joined):
+            odd = [bool(self._special and self._special(f) or self._wide_space(f)) for f in whole]
+            whole, rest = [f for f, o in zip(whole, odd, strict=True) if not o], [f for f, o in zip(whole, odd, strict=True) if o]
+        cut = dict(zip(whole, self._cut(whole), strict=True)) if whole else {}
+        cut.update((f, self.parts(f)) for f in rest)
+        names, other = set(chain.from_iterable(cut.values())), []
+        if merge is None or not self.plain("\0".join(names)):
+            other = [p for p in names if merge is None or not self.plain(p)]
+            names.difference_update(other)
+        ids = {p: array("I", merge(p)).tobytes() for p in names}
         if other:
             ids.update(zip(other, (array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(other, add_special_tokens=False)), strict=True))
-        out.update((f, b"".join(map(ids.__getitem__, ps))) for f, ps in cut.items())
-        return out
+        return {f: ids[ps[0]] if len(ps) == 1 else b"".join(map(ids.__getitem__, ps)) for f, ps in cut.items()}
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

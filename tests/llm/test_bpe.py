@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -81,3 +82,16 @@ def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode_documents(none, vocabulary_path()).count() == 0
     assert token_counts.count_tokens(none, vocabulary_path()).count() == 0
+
+
+def test_cuts_of_many_fragments_equal_those_of_each():
+    c = bpe.FragmentCodec(vocabulary_path())
+    rng = random.Random(8)
+    alphabet = "abcXYZ019 '\n\t.,-_éßñΩд日本\u00a0\u2003😀<|>"
+    names = sorted({"".join(rng.choice(alphabet) for _ in range(rng.randint(1, 14))) for _ in range(4000)} | {"a", "'", "é"})
+    plain = [f for f in names if not c._wide_space(f)]
+    assert c._cut(plain) == [c.parts(f) for f in plain]
+    assert sum(len(c.parts(f)) > 1 for f in plain) > 1000
+    assert c._cut(["a"]) == [["a"]]
+    got = c._resolve(set(names))
+    assert all(list(memoryview(got[f]).cast("I")) == c.tok.encode(f, add_special_tokens=False).ids for f in names if not f[0].isspace() and not f[-1].isspace())
