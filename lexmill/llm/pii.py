@@ -159,7 +159,8 @@ def votes(text: str, start: int, kind: int, end: int) -> tuple[int, ...]:
         context = 1 if any(w in SECRET_WORDS for w in near) else 0
     plain = -1 if any(w in PLAIN_WORDS for w in near) else 0
     variety = len(set(span)) / max(len(span), 1)
-    spread = 1 if kind == 4 and len(set(span)) >= 10 else -1 if variety < 0.2 else 0
+    word = kind == 4 and span.isalpha() and span.islower()
+    spread = 1 if kind == 4 and len(set(span)) >= 10 else -1 if variety < 0.2 or word else 0
     return shape, gazetteer, context, plain, spread
 
 
@@ -266,12 +267,13 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find(docs: DataFrame, model: SpanModel, accept: float = ACCEPT) -> DataFrame:
-    """Per row: doc_id, base counts, digest of the base spans, all spans as a string."""
+    """Per row: doc_id, base counts, digest of the base spans, all spans as a string, how many spans
+    the method added, and whether there is any span."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            count, digest, spans = [[], [], [], []], [], []
+            count, digest, spans, added = [[], [], [], []], [], [], []
             for text in batch.column(1).to_pylist():
                 base = base_spans(text or "")
                 kinds = [k for _, k, _ in base]
@@ -280,14 +282,15 @@ def find(docs: DataFrame, model: SpanModel, accept: float = ACCEPT) -> DataFrame
                 digest.append(hashlib.sha256(joined(base).encode()).hexdigest())
                 more = [c for c in candidates(text, base) if model.probability(pattern_of(text, *c)) >= accept] if text else []
                 spans.append(joined(sorted([*base, *more])))
+                added.append(len(more))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in count), pa.array(digest, pa.string()), pa.array(spans, pa.string())],
-                ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in count), pa.array(digest, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64()), pa.array([s != "" for s in spans], pa.bool_())],
+                ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "has_private"],
             )
 
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = source.schema[0].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+    return source.mapInArrow(run, f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint, has_private boolean")
 
 
 def pii(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
