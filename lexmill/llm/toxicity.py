@@ -6,8 +6,9 @@ is the expected severity, the sum of those probabilities.
 
 Features of a text are the hashed words and the hashed first 4 and 5 bytes of longer words
 (lower-cased, punctuation dropped), each present or not. Only features whose document
-counts differ between clean and graded texts by at least ``Z`` standard deviations take part,
-so that long clean texts don't add up the small weights of thousands of chance features.
+counts differ between clean and graded texts by a multiple of the standard deviation (``Z``,
+which is lower where few labels can't reach it) take part, so that long clean texts don't add
+up the small weights of thousands of chance features.
 
 Labels say only toxic or not. Toxic training texts with more indicative features than the
 median toxic one are the severe grade, so the thresholds grade what the features measure.
@@ -16,9 +17,10 @@ Training uses at most ``train_rows`` labelled documents (a documented bound; cho
 hash of the id, so the choice is the same in every run); scoring reads every document.
 
 Defined results: null and empty texts have no features and get the severity of the
-intercept alone; rows with equal ids are scored one by one; labels without a document, with
-null grades, or documents without labels don't train; without any labelled row everything
-has severity 0 and nothing is rejected.
+intercept alone, which rejects nothing: a rejected text's own features speak for a grade above
+0. Rows with equal ids are scored one by one, and the smallest of their feature lists trains;
+labels without a document, with null grades, or documents without labels don't train; without
+any labelled row, or without a feature that tells grades apart, nothing is rejected.
 """
 
 from __future__ import annotations
@@ -40,8 +42,10 @@ BITS = 20
 TRAIN_ROWS = 12_000
 #: Expected severity from which a document is rejected.
 REJECT_AT = 0.25
-#: Standard deviations by which a feature's count among graded texts must differ from chance.
-Z = 6.0
+#: Standard deviations by which a feature's count among graded texts must differ from chance: the
+#: first of these with which the share COVER of the graded texts holds a feature in their favour.
+Z = (6.0, 5.0, 4.0, 3.0)
+COVER = 0.9
 #: Training documents that must hold a feature.
 LEAST_DOCS = 3
 
@@ -53,12 +57,11 @@ _WORDISH[:0x30] = _WORDISH[0x3A:0x41] = _WORDISH[0x5B:0x61] = _WORDISH[0x7B:0x80
 def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct feature numbers of every row (those marked in ``only``), and their n + 1 offsets."""
     s, e, wo = K.words(data, offsets, _WORDISH)
-    sums = K.prefix_sums(data, K.LOWER_VALUE)
     row = K.row_of(wo)
-    parts, rows = [K.span_hashes(sums, s, e)], [row]
+    parts, rows = [K.span_hashes(data, s, e, K.LOWER)], [row]
     for n in (4, 5):
         long = np.flatnonzero(e - s > n)
-        parts.append(K.mix(K.span_hashes(sums, s[long], s[long] + n) + np.uint64(n)))
+        parts.append(K.mix(K.span_hashes(data, s[long], s[long] + n, K.LOWER) + np.uint64(n)))
         rows.append(row[long])
     f = (np.concatenate(parts) >> np.uint64(64 - bits)).astype(np.int64)
     row = np.concatenate(rows).astype(np.int64)
@@ -97,6 +100,14 @@ def lifts(feature: np.ndarray, row: np.ndarray, grade: np.ndarray, bits: int = B
     return np.where(seen >= LEAST_DOCS, z, 0)
 
 
+def strictest(lift: np.ndarray, feature: np.ndarray, row: np.ndarray, grade: np.ndarray) -> float:
+    """The first of ``Z`` that leaves COVER of the graded texts a feature in their favour, else the last."""
+    best = np.zeros(len(grade))
+    np.maximum.at(best, row, lift[feature])
+    best = best[grade > 0]
+    return next((z for z in Z if (best >= z).mean() >= COVER), Z[-1])
+
+
 def refine(grade: np.ndarray, hits: np.ndarray) -> np.ndarray:
     """Grades 0 < 1 < 2 from 0/1 labels: toxic texts with more than the usual number of
     indicative features are the severe ones."""
@@ -115,7 +126,7 @@ def fit(feature: np.ndarray, offsets: np.ndarray, grade: np.ndarray, bits: int =
         return OrdinalModel(np.zeros(1 << bits), np.full(max(classes - 1, 1), 35.0))
     row = K.row_of(offsets)
     lift = lifts(feature, row, grade, bits)
-    taken = (np.abs(lift) >= Z)[feature]
+    taken = (np.abs(lift) >= strictest(lift, feature, row, grade))[feature]
     feature, row = feature[taken], row[taken]
     if classes == 2:
         grade = refine(grade, np.bincount(row, lift[feature] > 0, len(grade)))
@@ -156,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, bits
     """Fit on at most ``train_rows`` rows of ``labels`` (doc_id, grade) that have a document.
 
     The chosen ids are bounded, so they are broadcast to the scan of the documents; only
-    the feature numbers of those documents come to the driver.
+    one list of feature numbers for each of those ids comes to the driver.
     """
     ship(docs.sparkSession)
     chosen = (
@@ -170,12 +181,13 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, bits
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = K.buffers(batch.column(2))
-            f, fo = features(data, offsets, bits)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(fo, pa.int32()), pa.array(f, pa.int32()))], ["doc_id", "grade", "f"])
+            for a, b, d, o in K.slices(data, offsets):
+                f, fo = features(d, o, bits)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(pa.array(fo, pa.int32()), pa.array(f, pa.int32()))], ["doc_id", "grade", "f"])
 
     joined = docs.select(F.col("doc_id"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
     kind = joined.schema["doc_id"].dataType.simpleString()
-    rows = joined.mapInArrow(run, f"doc_id {kind}, grade int, f array<int>").toArrow()
+    rows = joined.mapInArrow(run, f"doc_id {kind}, grade int, f array<int>").groupBy("doc_id", "grade").agg(F.min("f").alias("f")).toArrow()
     ids = np.array(rows.column("doc_id").to_pylist(), dtype=object) if not pa.types.is_integer(rows.schema.field("doc_id").type) else rows.column("doc_id").to_numpy()
     lists = rows.column("f").combine_chunks()
     size = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
@@ -208,12 +220,15 @@ def score(docs: DataFrame, model: OrdinalModel, reject_at: float = REJECT_AT, bi
         only = use.weights != 0
         for batch in batches:
             data, offsets = K.buffers(batch.column(text_at).cast(pa.string()))
-            found = [use.severity(*features(d, o, bits, only)) for _, _, d, o in K.slices(data, offsets)]
-            severity = np.concatenate(found) if found else np.zeros(0)
+            severity, bad = np.zeros(len(batch)), np.zeros(len(batch), bool)
+            for a, b, d, o in K.slices(data, offsets):
+                found = features(d, o, bits, only)
+                severity[a:b] = use.severity(*found)
+                bad[a:b] = (severity[a:b] >= reject_at) & (use.raw(*found) > 0)
             if keep:
-                yield batch.filter(pa.array(severity < reject_at))
+                yield batch.filter(pa.array(~bad))
             else:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(severity, 6)), pa.array(severity >= reject_at)], ["doc_id", "severity", "rejected"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(severity, 6)), pa.array(bad)], ["doc_id", "severity", "rejected"])
 
     if keep:
         return docs.mapInArrow(run, docs.schema)
