@@ -36,7 +36,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of what they decode to."""
-    return bpe.encode_documents(docs, vocabulary_path()).drop("decoded")
+    return bpe.encode_documents(docs, vocabulary_path(), with_text=False)
 
 
 STAGES = [
