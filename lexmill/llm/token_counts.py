@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from lexmill.llm.bpe import CACHE_CHARS, CACHE_ENTRIES, STABLE, FragmentCodec, pretoken_source
 from lexmill.session import ship
 
+
 class WholeTokenCounter:
     """Counts the tokens of texts for one byte-level vocabulary file."""
 
@@ -108,6 +109,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
         if path not in _counters:
             _counters[path] = WholeTokenCounter(path, frozenset(proven.value))
         use = _counters[path]
+        use.rest.clear()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             size = [len(t.encode()) if t else 0 for t in texts]
@@ -116,6 +118,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
                 [batch.column(0), pa.array(size, pa.int64()), pa.array(count, pa.int64()), pa.array([n > limit for n in count], pa.bool_())],
                 [id_col, "n_bytes", "n_tokens", "over_limit"],
             )
+        use.rest.clear()  # the worker lives on, beside whatever runs next
 
     source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     kind = source.schema[0].dataType.simpleString()
