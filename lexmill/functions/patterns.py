@@ -46,9 +46,11 @@ CONTRACTIONS = (
 )
 
 STOPWORDS = (
-    "a an and are as at be by for from has he in is it its of on that the to was will with would you your have had "
-    "this these they were been their said each which she do how if up out many then them can could should may might must shall am being"
-).split()
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on",
+    "that", "the", "to", "was", "will", "with", "would", "you", "your", "have", "had", "this", "these", "they",
+    "were", "been", "their", "said", "each", "which", "she", "do", "how", "if", "up", "out", "many", "then", "them",
+    "can", "could", "should", "may", "might", "must", "shall", "am", "being",
+)
 
 SUFFIXES = (
     ("ies", "y"),

@@ -60,7 +60,22 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/lexmill-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lexmill_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote and no plan needs any more.
+
+    What a returned plan still reads must stay; it is cleared with the shared folder.
+    """
+    for table in tables:
+        path = getattr(table, "_lexmill_path", None)
+        if path:
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def ship(spark: SparkSession) -> None:
