@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.session import materialise
+from lexmill.session import discard, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -41,7 +41,8 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
         if mark == last or not mark.n:
             break
         last = mark
-        edges = materialise(_small_star(_large_star(edges)), "edges")
+        before, edges = edges, materialise(_small_star(_large_star(edges)), "edges")
+        discard(before)
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
@@ -59,4 +60,6 @@ def merged(known: DataFrame, links: DataFrame) -> DataFrame:
     more = materialise(components(links), "more")
     moved = known.join(more.select(F.col("node").alias("component"), F.col("component").alias("__to")), "component", "left").select("node", F.coalesce("__to", "component").alias("component"))
     fresh = more.join(known.select("node"), "node", "left_anti")
-    return materialise(moved.unionByName(fresh), "known")
+    out = materialise(moved.unionByName(fresh), "known")
+    discard(links, more)
+    return out

@@ -3,9 +3,10 @@
 Documents with the same shingle set form one class, kept as one representative. Every
 representative has ``TREES * DEPTH`` minhash values; tree t orders all representatives by
 their values rotated to start at its own, so each order is a sorted signature order whose
-longest-common-prefix neighbours stand side by side. The depth is adaptive: the order goes
-as deep as it has to in crowded regions (copies of one text), while in thin ones
-``LEAST_DEPTH`` common values make a candidate.
+longest-common-prefix neighbours stand side by side. The depth adapts to the region: where few
+representatives share ``THIN_DEPTH`` leading values all of them are candidates of each other;
+where more do, ``LEAST_DEPTH`` common values are needed; and in crowded regions (copies of one
+text) the order goes on through all values, and those who share most of them stand together.
 
 Candidates are confirmed on full shingle sets in two passes. The first confirms, for every
 document, its best candidate and its smallest one, and joins what is linked. The second
@@ -17,9 +18,9 @@ The orders propose neighbours, the smallest id and the most central member of a
 joins most groups. What they leave is looked at exactly: in every region whose members are
 still in different components, all pairs of members from different components meet with their
 full sets, in blocks of ``BLOCK`` members, and only links leave a block. Regions are found by
-their key, so neither crowding nor the cuts of the range partitioning lose a pair. The chance that a pair
-at the threshold shares no region in any tree is about (1 - 0.85**4)**16, less than one in
-100,000.
+their key, so neither crowding nor the cuts of the range partitioning lose a pair. The chance
+that a pair at the threshold shares no region in any tree is about (1 - 0.85**4)**16, less than
+one in 100,000, and (1 - 0.85**3)**16, less than one in a million, where regions are thin.
 
 Defined results: words are split at blank and \\t-\\r and lower-cased in A-Z; a text of fewer
 than ``SHINGLE`` words has one shingle, all its words; null and empty texts have none and
@@ -41,15 +42,15 @@ from pyspark.sql.types import IntegralType
 
 from lexmill.llm import kernels as K
 from lexmill.llm.components import components, merged
-from lexmill.session import materialise, ship
+from lexmill.session import discard, materialise, ship
 
 SHINGLE = 5
 #: Percent of the union that two sets must share.
 PERCENT = 85
 #: Trees of the forest, and the minhash values that are each tree's own.
 TREES, DEPTH = 16, 4
-#: Common leading values that make two neighbours candidates.
-LEAST_DEPTH = 4
+#: Common leading values that make two neighbours candidates, in thin regions and elsewhere.
+THIN_DEPTH, LEAST_DEPTH = 3, 4
 #: Neighbours looked at on either side in each order.
 NEAR = 8
 VALUES = TREES * DEPTH
@@ -139,10 +140,14 @@ def _neighbours(orders: DataFrame, kind: str) -> DataFrame:
     """(a, b, agree): candidate pairs from sorted runs; rows arrive in tree and label order."""
     width = 4 * DEPTH + VALUES - DEPTH
 
+    def same(tree, label, depth):
+        """Which rows share their tree and leading values with the row before."""
+        out = np.zeros(len(tree), bool)
+        out[1:] = (tree[1:] == tree[:-1]) & (label[1:, : 4 * depth] == label[:-1, : 4 * depth]).all(1)
+        return out
+
     def pairs(tree, label, ids, n):
-        same_head = np.zeros(len(ids), bool)  # with the row before
-        heads = np.ascontiguousarray(label[:, : 4 * LEAST_DEPTH])
-        same_head[1:] = (tree[1:] == tree[:-1]) & (heads[1:] == heads[:-1]).all(1)
+        same_head = same(tree, label, LEAST_DEPTH)
         run_no = np.cumsum(~same_head)
         first = np.flatnonzero(~same_head)
         out = []
@@ -160,6 +165,12 @@ def _neighbours(orders: DataFrame, kind: str) -> DataFrame:
                 if not len(x):
                     break
                 add(x, x + d)
+        # thin regions at the smaller depth, whole
+        thin_no = np.cumsum(~same(tree, label, THIN_DEPTH))
+        size = np.bincount(thin_no)[thin_no]
+        for d in range(1, min(NEAR + 1, len(ids))):
+            x = np.flatnonzero((thin_no[d:] == thin_no[:-d]) & (run_no[d:] != run_no[:-d]) & (size[d:] <= NEAR + 1))
+            add(x, x + d)
         # the smallest id of each region, against all its members
         if len(ids):
             order = np.lexsort((ids, run_no))
@@ -188,7 +199,8 @@ def _neighbours(orders: DataFrame, kind: str) -> DataFrame:
             last = (block[0] == block[0][-1]) & (block[1][:, : 4 * LEAST_DEPTH] == block[1][-1, : 4 * LEAST_DEPTH]).all(1)
             members = np.flatnonzero(last)
             center = members[_central(block[1][members])]
-            keep = np.unique(np.concatenate([[members[np.argmin(block[2][members])], center], members[-NEAR:]]))
+            thin = np.flatnonzero((block[0] == block[0][-1]) & (block[1][:, : 4 * THIN_DEPTH] == block[1][-1, : 4 * THIN_DEPTH]).all(1))
+            keep = np.unique(np.concatenate([[members[np.argmin(block[2][members])], center], members[-NEAR:], thin[-NEAR:]]))
             held = [x[keep] for x in block]
 
     return orders.mapInArrow(run, f"a {kind}, b {kind}, agree int")
@@ -385,6 +397,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = merged(known, _confirmed(rest, sets).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     # exact pass: members of a region in different components
     member = merged(known, _apart(regions, reps, sets, known, kind))
+    discard(pairs, first, regions, sets)
     classes = reps.select("k1", "k2", F.col("doc_id").alias("rep")).join(member.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("c"))
     keyed = signed.select("doc_id", "n_shingles", "k1", "k2").join(several, same_id, "left")
     out = keyed.select("doc_id", "n_shingles", F.coalesce("m1", "k1").alias("k1"), F.coalesce("m2", "k2").alias("k2")).join(classes, ["k1", "k2"], "left")
