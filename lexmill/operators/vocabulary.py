@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import base64
+import os
 from collections.abc import Iterator
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.operators.sequences import numbered
+from lexmill.session import ship
 
 SPECIALS = ("<pad>", "<unk>", "<s>", "</s>")
 PRETOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
@@ -35,34 +39,104 @@ def model_rows(ranked: DataFrame) -> DataFrame:
     return special.unionByName(ranked.select("token", "id"))
 
 
-_models: dict[str, object] = {}
+# -- tokenizer files ----------------------------------------------------------------------
 
 
-def _model(path: str):
-    if path not in _models:
-        from tokenizers import Tokenizer
+class Tokenizer(Protocol):
+    """What every kind of tokenizer file offers."""
+
+    size: int
+
+    def encode(self, texts: list[str]) -> list[list[int]]: ...
+
+    def decode(self, ids: list[list[int]]) -> list[str]: ...
+
+
+class _Json:
+    """A file of the tokenizers library."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer as Library
+
+        self.library = Library.from_file(path)
+        self.size = self.library.get_vocab_size()
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return self.library.decode_batch(ids, skip_special_tokens=False)
+
+
+class _Pieces:
+    """A model of the sentencepiece library."""
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+
+        self.library = SentencePieceProcessor(model_file=path)
+        self.size = self.library.vocab_size()
 
-        _models[path] = Tokenizer.from_file(path)
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.library.encode(texts, num_threads=1)
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return self.library.decode(ids, num_threads=1)
+
+
+class _Ranks:
+    """A table of byte strings and ranks, for the tiktoken library."""
+
+    #: The byte-level pre-token pattern (fixed value).
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+    def __init__(self, path: str):
+        from tiktoken import Encoding
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
+        self.library = Encoding("ranks", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.size = len(ranks)
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [self.library.encode_ordinary(t) for t in texts]
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return [self.library.decode(x) for x in ids]
+
+
+#: Which kind of tokenizer serves a suffix.
+KINDS: dict[str, type] = {".json": _Json, ".model": _Pieces, ".tiktoken": _Ranks}
+_models: dict[str, Tokenizer] = {}
+
+
+def tokenizer(path: str) -> Tokenizer:
+    """The tokenizer of a file, by its suffix; one for each process and file."""
+    if path not in _models:
+        suffix = os.path.splitext(path)[1].lower()
+        if suffix not in KINDS:
+            raise ValueError(f"no tokenizer reads {suffix or path}; known are {', '.join(KINDS)}")
+        _models[path] = KINDS[suffix](path)
     return _models[path]
 
 
 def encode(docs: DataFrame, path: str, max_length: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, tokens): ids of a tokenizers file, cut at ``max_length`` if given; null text has none."""
+    """(id, tokens): ids of a tokenizer file, cut at ``max_length`` if given; null text has none."""
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _model(path)
+        model = tokenizer(path)
         for b in batches:
-            found = model.encode_batch([t or "" for t in b[text_col]], add_special_tokens=False)
-            yield pd.DataFrame({id_col: b[id_col], "tokens": [e.ids[:max_length] for e in found]})
+            yield pd.DataFrame({id_col: b[id_col], "tokens": [x[:max_length] for x in model.encode([t or "" for t in b[text_col]])]})
 
     return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInPandas(run, f"`{id_col}` {kind}, tokens array<int>")
 
 
 def decode(tokens: Column, path: str) -> Column:
-    """Text of an array of ids."""
+    """Text of an array of ids; null is the empty text."""
 
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series(_model(path).decode_batch([list(map(int, x)) if x is not None else [] for x in s], skip_special_tokens=False), index=s.index, dtype="object")
+        return pd.Series(tokenizer(path).decode([list(map(int, x)) if x is not None else [] for x in s]), index=s.index, dtype="object")
 
     return F.pandas_udf(run, "string")(tokens)

@@ -136,10 +136,10 @@ def l1_l3_corpus_round_trip(spark, sf_dir):
     return files.line_records(spark, path).agg(F.count("*").alias("n"))
 
 
-def _vocabulary_path() -> str:
+def _vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @query("SELECT doc_id, sha256(text) AS text, length(text) > 0 AS full FROM documents")
@@ -149,6 +149,19 @@ def b42_k6_k8_token_round_trip(spark, sf_dir):
     return t.select("doc_id", F.sha2(vocabulary.decode(F.col("tokens"), _vocabulary_path()), 256).alias("text"), (F.size("tokens") > 0).alias("full"))
 
 
+@query("SELECT conv_id, turn, sha256(text) AS text, true AS same, true AS pieces FROM conversations")
+def k8_tokenizer_files(spark, sf_dir):
+    """One vocabulary as two kinds of files gives the same ids; a third kind finds every word."""
+    talk = read_table(spark, sf_dir, "conversations").withColumn("id", F.concat_ws("-", "conv_id", "turn"))
+    by = {name: vocabulary.encode(talk, _vocabulary_path(name), id_col="id").withColumnRenamed("tokens", name[:5] + name[-4:]) for name in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model")}
+    out = talk.select("id", "conv_id", "turn", "text")
+    for table in by.values():
+        out = out.join(table, "id")
+    a, b, c = (n[:5] + n[-4:] for n in by)
+    back = F.regexp_replace(vocabulary.decode(F.col(c), _vocabulary_path("piece_bpe_32k.model")), r"\s+", "")
+    return out.select("conv_id", "turn", F.sha2(vocabulary.decode(F.col(b), _vocabulary_path("byte_bpe_50k.tiktoken")), 256).alias("text"), (F.col(a) == F.col(b)).alias("same"), (back == F.regexp_replace("text", r"\s+", "")).alias("pieces"))
+
+
 @query()
 def f11_f12_k7_k10_token_stats(spark, sf_dir):
     """Characters, tokens, ratio and vocabulary of the corpus, written as a token table and read again."""
