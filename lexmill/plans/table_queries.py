@@ -323,12 +323,11 @@ def e5_processor_lookup(spark, sf_dir):
     return read_table(spark, sf_dir, "pages").select("page_id", files.processor(F.concat("url", more)).alias("processor"))
 
 
-@query("SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, coalesce(b.v, a.v) AS v FROM (SELECT doc_id, quality AS v FROM labels WHERE doc_id % 3 > 0) a FULL OUTER JOIN (SELECT doc_id, CASE WHEN toxic = 1 THEN 7 END AS v FROM labels WHERE doc_id % 2 = 0) b ON a.doc_id = b.doc_id")
+@query("SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, coalesce(b.v, a.v)::BIGINT AS v FROM (SELECT doc_id, n_chars AS v FROM documents) a FULL OUTER JOIN (SELECT doc_id + 1 AS doc_id, CASE WHEN toxic = 0 THEN quality END AS v FROM labels) b ON a.doc_id = b.doc_id")
 def e6_override_join(spark, sf_dir):
-    """Right side wins where it has a value."""
-    labels = read_table(spark, sf_dir, "labels")
-    left = labels.where("doc_id % 3 > 0").select("doc_id", F.col("quality").alias("v"))
-    right = labels.where("doc_id % 2 = 0").select("doc_id", F.when(F.col("toxic") == 1, 7).alias("v"))
+    """The right side wins where it has a value; both sides have rows of their own."""
+    left = read_table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("long").alias("v"))
+    right = read_table(spark, sf_dir, "labels").select((F.col("doc_id") + 1).alias("doc_id"), F.when(F.col("toxic") == 0, F.col("quality")).cast("long").alias("v"))
     return reports.override(left, right, "doc_id")
 
 

@@ -498,11 +498,12 @@ def d6_record_dedup(spark, sf_dir):
     return dedup.dedup_records(_lined(spark, sf_dir), "doc_id", "text").select("doc_id")
 
 
-@query(_LINES + "SELECT doc_id, pos::INT AS pos FROM k WHERE k <> '' AND doc_id % 2 = 1 AND k NOT IN (SELECT k FROM k WHERE doc_id % 2 = 0 AND k <> '')")
+@query(_LINES + f"SELECT doc_id, pos::INT AS pos FROM k WHERE k <> '' AND k NOT IN (SELECT {_KEY.format('line')} FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM conversations)))")
 def d3_e3_unseen_lines(spark, sf_dir):
-    """Incremental dedup: lines of the odd documents against the table of the even ones."""
-    lined = dedup.keyed_lines(_lined(spark, sf_dir)).where("h is not null")
-    return dedup.unseen(lined.where("doc_id % 2 = 1"), lined.where("doc_id % 2 = 0")).select("doc_id", "pos")
+    """Incremental dedup: lines of all documents that neither the benchmark nor a conversation holds."""
+    lined = dedup.keyed_lines(_lined(spark, sf_dir), columns=("doc_id", "pos")).where("h is not null")
+    seen = read_table(spark, sf_dir, "benchmark").select("text").unionByName(read_table(spark, sf_dir, "conversations").select("text"))
+    return dedup.unseen(lined, dedup.keyed_lines(seen, columns=())).select("doc_id", "pos")
 
 
 @query(_LINES + "SELECT k AS line, count(DISTINCT doc_id) AS n FROM k WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 2")
