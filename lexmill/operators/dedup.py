@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,9 +144,9 @@ def near_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vec
     return _pairs_in_groups(rows.mapInPandas(run, "id long, v array<double>, keys array<long>, g long"), threshold, block)
 
 
-def _pairs_in_groups(rows: DataFrame, threshold: float, block: int) -> DataFrame:
+def _pairs_in_groups(rows: DataFrame, threshold: float, block: int, named: bool = False) -> DataFrame:
     """Similar pairs of rows (g, id, v) with the same g; with ``keys``, a pair counts in its first
-    common group alone.
+    common group alone; ``named`` adds g to the pairs.
 
     Rows of a group are dealt to blocks by a hash of the id; every pair of blocks meets through an
     equi-join on the second block's number, as one row with two matrices, so no row of two
@@ -159,27 +160,30 @@ def _pairs_in_groups(rows: DataFrame, threshold: float, block: int) -> DataFrame
     left = packed.select("g", "rows", F.explode(F.sequence(F.col("b"), F.col("n") - 1)).alias("o"), F.col("b").alias("a"))
     both = left.join(packed.select("g", F.col("b").alias("o"), F.col("rows").alias("others")), ["g", "o"]).select("g", "a", "o", "rows", "others")
 
-    def matrix(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-        ids = np.array([r["id"] for r in rows], np.int64)
-        m = np.array([r["v"] for r in rows], np.float64)
+    def matrix(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        lists = lambda name: rows.field(name).flatten().to_numpy().reshape(len(rows), -1)
+        m = lists("v").astype(np.float64)
         norm = np.sqrt((m * m).sum(1, keepdims=True))
-        return ids, np.divide(m, norm, out=np.zeros_like(m), where=norm > 0), np.array([r["keys"] for r in rows]) if keyed else None
+        return rows.field("id").to_numpy(), np.divide(m, norm, out=np.zeros_like(m), where=norm > 0), lists("keys") if keyed else None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for g, a, o, rows, others in batch.itertuples(index=False):
-                (x, mx, kx), (y, my, ky) = matrix(rows), matrix(others)
+            group, here, other = batch.column(0), batch.column(3), batch.column(4)
+            for at, (a, o) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                (x, mx, kx), (y, my, ky) = matrix(here[at].values), matrix(other[at].values)
                 sim = mx @ my.T
                 i, j = np.nonzero(sim >= threshold)
                 keep = x[i] < y[j] if a == o else x[i] != y[j]
                 i, j = i[keep], j[keep]
                 if keyed and len(i):
                     same = kx[i] == ky[j]
-                    first = kx[i, same.argmax(1)] == g
+                    first = kx[i, same.argmax(1)] == group[at].as_py()
                     i, j = i[first], j[first]
-                yield pd.DataFrame({"i": np.minimum(x[i], y[j]), "j": np.maximum(x[i], y[j]), "sim": sim[i, j]})
+                found = [pa.array(np.minimum(x[i], y[j])), pa.array(np.maximum(x[i], y[j])), pa.array(sim[i, j])]
+                yield pa.RecordBatch.from_arrays([*([pa.array([group[at].as_py()] * len(i), group.type)] if named else []), *found], [*(["g"] if named else []), "i", "j", "sim"])
 
-    return both.mapInPandas(run, "i long, j long, sim double")
+    kind = f"g {rows.schema['g'].dataType.simpleString()}, " if named else ""
+    return both.mapInArrow(run, f"{kind}i long, j long, sim double")
 
 
 def drop_similar(vectors: DataFrame, pairs: DataFrame, id_col: str = "vec_id") -> DataFrame:
@@ -187,10 +191,6 @@ def drop_similar(vectors: DataFrame, pairs: DataFrame, id_col: str = "vec_id") -
     return vectors.join(pairs.select(F.col("j").alias(id_col)).distinct(), id_col, "left_anti")
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def hashed_vectors(texts: list[str], width: int = 256) -> np.ndarray:
     """Word counts by hash, one row for each text: an embedding that needs no model."""
     out = np.zeros((len(texts), width))
@@ -220,8 +220,8 @@ def embed_chunks(docs: DataFrame, embed=hashed_vectors, chunk_words: int = 512,
 
 def dedup_texts(docs: DataFrame, threshold: float = 0.85, chunk_words: int = 512, embed=hashed_vectors, algorithm: str = "sha256") -> DataFrame:
     """Exact line dedup, then similar chunks within each text, with the counts of both (``dedup_chunks``)."""
-    lined = materialise(dedup_corpus_lines(docs, algorithm=algorithm).select("doc_id", "text"), "lines")
-    return dedup_chunks(docs, embed_chunks(lined, embed, chunk_words), threshold, chunk_words=chunk_words)
+    lined = materialise(dedup_corpus_lines(docs, algorithm=algorithm), "lines")
+    return _without_similar(lined, embed_chunks(lined, embed, chunk_words), threshold, chunk_words)
 
 
 def dedup_chunks(docs: DataFrame, vectors: DataFrame, threshold: float, key=None, chunk_words: int = 512) -> DataFrame:
@@ -231,13 +231,14 @@ def dedup_chunks(docs: DataFrame, vectors: DataFrame, threshold: float, key=None
     the line dedup. Chunks are compared within their document; a text of several chunks comes
     back with its remaining chunks joined by blanks, as one line.
     """
-    lined = dedup_corpus_lines(docs, key)
+    return _without_similar(dedup_corpus_lines(docs, key), vectors, threshold, chunk_words)
+
+
+def _without_similar(lined: DataFrame, vectors: DataFrame, threshold: float, chunk_words: int) -> DataFrame:
+    """The rows of ``dedup_corpus_lines`` without chunks that are like an earlier one of their text."""
     chunks = lined.select("doc_id", F.posexplode(T.word_chunks(F.col("text"), chunk_words)).alias("chunk", "piece"))
-    v = vectors.select("doc_id", "chunk", F.col("embedding").cast("array<double>").alias("e"))
-    a, b = v.toDF("doc_id", "i", "x"), v.toDF("doc_id", "j", "y")
-    norm = F.sqrt(dot(F.col("x"), F.col("x"))) * F.sqrt(dot(F.col("y"), F.col("y")))
-    alike = a.join(b, "doc_id").where("i < j").where(F.when(norm > 0, dot(F.col("x"), F.col("y")) / norm).otherwise(0.0) >= threshold)
-    gone = alike.select("doc_id", F.col("j").alias("chunk")).distinct().withColumn("gone", F.lit(True))
+    own = vectors.where("doc_id is not null and embedding is not null").select(F.col("doc_id").alias("g"), F.col("chunk").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    gone = _pairs_in_groups(own, threshold, BLOCK, named=True).select(F.col("g").alias("doc_id"), F.col("j").cast("int").alias("chunk")).distinct().withColumn("gone", F.lit(True))
     marked = chunks.join(gone, ["doc_id", "chunk"], "left")
     kept = F.array_sort(F.collect_list(F.when(F.col("gone").isNull(), F.struct("chunk", "piece"))))
     joined = marked.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.count("gone").alias("n_similar"), F.array_join(F.transform(kept, lambda s: s.piece), " ").alias("joined"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
 from lexmill.operators import sequences, vocabulary
+from lexmill.plans import formats
 from lexmill.plans.registry import query
 from lexmill.plans.text_queries import strip_sql
 from lexmill.sources import files, sinks
@@ -66,6 +67,67 @@ def _folder(spark: SparkSession, sf_dir: str) -> str:
     return place
 
 
+def _back(spark: SparkSession, sf_dir: str, suffix: str) -> DataFrame:
+    """The text of every document after it was a file of the format; null where it has none."""
+    found = files.extracted(formats.as_files(read_table(spark, sf_dir, "documents"), suffix))
+    return found.select(F.regexp_extract("path", r"/(\d+)\.", 1).cast("long").alias("doc_id"), F.sha2("text", 256).alias("text"), "error")
+
+
+def _formatted(x: str) -> str:
+    return f"SELECT doc_id, CASE WHEN {strip_sql('t')} <> '' THEN sha256(t) END AS text, CASE WHEN {strip_sql('t')} <> '' THEN NULL ELSE 'no text content' END AS error FROM (SELECT doc_id, {x} AS t FROM documents)"
+
+
+_FULL_LINES = f"list_filter(string_split(text, chr(10)), lambda y: {strip_sql('y')} <> '')"
+_PAGES = "list_transform(range(0, (len(string_split(text, chr(10))) + 39) // 40), lambda p: string_split(text, chr(10))[p * 40 + 1 : p * 40 + 40])"
+
+
+@query(_formatted(f"array_to_string({_FULL_LINES}, chr(10) || chr(10))"))
+def a4_docx(spark, sf_dir):
+    """Documents as office texts, a paragraph a line, read again."""
+    return _back(spark, sf_dir, "docx")
+
+
+@query(_formatted(f"array_to_string(list_filter(list_transform({_PAGES}, lambda p: array_to_string(p, chr(10))), lambda y: {strip_sql('y')} <> ''), chr(10) || chr(10))"))
+def a5_pptx(spark, sf_dir):
+    """Documents as slides of 40 lines, read again."""
+    return _back(spark, sf_dir, "pptx")
+
+
+@query(_formatted("array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda y: " + strip_sql(r"regexp_replace(y, '\s+', ' ', 'g')") + "), lambda y: y <> ''), chr(10))"))
+def a11_epub(spark, sf_dir):
+    """Documents as books of one chapter, read again."""
+    return _back(spark, sf_dir, "epub")
+
+
+_PDF_PAGES = f"list_transform({_PAGES}, lambda p: array_to_string(list_filter(p, lambda y: y <> ''), chr(10)))"
+
+
+@query(_formatted(f"array_to_string(list_filter({_PDF_PAGES}, lambda y: {strip_sql('y')} <> ''), chr(10) || chr(10))"))
+def a3_a12_pdf(spark, sf_dir):
+    """Documents as PDF files of 40 lines a page, read again."""
+    return _back(spark, sf_dir, "pdf")
+
+
+@query(f"SELECT doc_id, page::INT AS page, sha256(p[page + 1]) AS text FROM (SELECT doc_id, p, unnest([0, 2]) AS page FROM (SELECT doc_id, {_PDF_PAGES} AS p FROM documents)) WHERE page < len(p)")
+def a15_pdf_pages(spark, sf_dir):
+    """The first and third page of every PDF file that has them."""
+    pages = files.pdf_pages(formats.as_files(read_table(spark, sf_dir, "documents"), "pdf"), [0, 2, 9999])
+    return pages.select(F.regexp_extract("path", r"/(\d+)\.", 1).cast("long").alias("doc_id"), "page", F.sha2("text", 256).alias("text"))
+
+
+@query("SELECT doc_id, ((len(string_split(text, chr(10))) + 39) // 40)::INT AS page_count, false AS encrypted, false AS has_images FROM documents")
+def a16_pdf_info(spark, sf_dir):
+    info = files.pdf_info(formats.as_files(read_table(spark, sf_dir, "documents"), "pdf"))
+    return info.select(F.regexp_extract("path", r"/(\d+)\.", 1).cast("long").alias("doc_id"), "page_count", "encrypted", "has_images")
+
+
+@query(f"SELECT doc_id, sha256(array_to_string({_PDF_PAGES}, chr(10))) AS text FROM documents")
+def a13_pdf_texts(spark, sf_dir):
+    """Pages of every PDF file joined by line ends; the score is that of b27."""
+    texts = files.pdf_texts(formats.as_files(read_table(spark, sf_dir, "documents"), "pdf"))
+    return texts.select(F.regexp_extract("path", r"/(\d+)\.", 1).cast("long").alias("doc_id"), F.sha2("text", 256).alias("text"))
+
+
 _PLACED = "SELECT doc_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS t, doc_id % 3 AS kind, doc_id % 2 AS below FROM documents"
 
 

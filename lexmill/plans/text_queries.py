@@ -518,3 +518,27 @@ def a21_line_records(spark, sf_dir):
     """Every line that is not blank is a record."""
     each = _docs(spark, sf_dir, False).select(F.explode(T.lines(F.col("text"))).alias("line")).where(T.strip(F.col("line")) != "")
     return each.agg(F.count("*").alias("records"), F.sum(F.length("line")).alias("chars"))
+
+
+_LETTERS = "list_transform(range(97, 123), lambda c: (length(k) - length(replace(k, chr(c::INT), '')))::DOUBLE)"
+
+
+def letter_counts(texts: list[str]) -> list[list[float]]:
+    """An embedding that SQL can compute too: how often each of a to z stands in a text."""
+    return [[float(t.count(chr(c))) for c in range(97, 123)] for t in texts]
+
+
+@query(
+    _LINES
+    + f""", t AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (kept), '') AS text FROM r GROUP BY doc_id),
+w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda y: y <> '') AS w FROM t),
+c AS (SELECT doc_id, c, array_to_string(w[c * 64 + 1 : c * 64 + 64], ' ') AS piece FROM (SELECT doc_id, w, unnest(range(0, (len(w) + 63) // 64)) AS c FROM w)),
+v AS (SELECT doc_id, c, {_LETTERS} AS v FROM (SELECT doc_id, c, {_KEY.format('piece')} AS k FROM c) WHERE k <> ''),
+gone AS (SELECT DISTINCT b.doc_id, b.c FROM v a JOIN v b ON a.doc_id = b.doc_id AND a.c < b.c WHERE list_sum(a.v) > 0 AND list_sum(b.v) > 0 AND list_cosine_similarity(a.v, b.v) >= 0.985),
+j AS (SELECT c.doc_id, count(*) AS n_chunks, count(gone.c) AS n_similar, coalesce(string_agg(piece, ' ' ORDER BY c.c) FILTER (gone.c IS NULL), '') AS joined FROM c LEFT JOIN gone ON c.doc_id = gone.doc_id AND c.c = gone.c GROUP BY c.doc_id)
+SELECT doc_id, sha256(CASE WHEN n_chunks > 1 THEN joined ELSE text END) AS text, coalesce(n_chunks, 0)::BIGINT AS n_chunks, CASE WHEN n_chunks > 1 THEN n_similar ELSE 0 END::BIGINT AS n_similar FROM t LEFT JOIN j USING (doc_id)"""
+)
+def d7_d10_dedup_texts(spark, sf_dir):
+    """Exact line dedup, chunks of 64 words, their letter counts, similar chunks of a text removed."""
+    out = dedup.dedup_texts(_lined(spark, sf_dir), 0.985, 64, letter_counts)
+    return out.select("doc_id", F.sha2("text", 256).alias("text"), "n_chunks", F.col("n_similar").cast("long").alias("n_similar"))
