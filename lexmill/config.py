@@ -97,6 +97,21 @@ def check(c: Config) -> None:
             raise ConfigError(key, message)
 
 
+def summary(c: Config) -> dict[str, Any]:
+    """What a configuration amounts to, in a few lines: masks that are on, limits, and samples."""
+    masks = [name for name in ("urls", "emails", "phones") if getattr(c.cleaning, name)]
+    step = c.samples.stride or c.samples.block
+    return {
+        "masks": masks,
+        "line_lengths": [c.cleaning.min_line, c.cleaning.max_line],
+        "line_dedup": c.cleaning.dedup,
+        "chunk_dedup": f"{c.dedup.chunk_words} words at {c.dedup.similarity:g}",
+        "samples": f"{c.samples.block} tokens every {step}",
+        "overlap": max(0, 1 - step / c.samples.block),
+        "split": dict(zip(("train", "val", "test"), c.samples.ratios, strict=True)),
+    }
+
+
 def _yaml():
     try:
         import yaml

@@ -48,6 +48,18 @@ def a1_a7_load_documents(spark, sf_dir):
     return files.load_documents(_files(spark, sf_dir), clean=False).select("filename", "char_count", "line_count")
 
 
+@query("""SELECT reason, count(*) AS n FROM (SELECT CASE doc_id % 4 WHEN 0 THEN 'unsupported format' WHEN 1 THEN 'empty' WHEN 2 THEN 'unreadable' END AS reason FROM documents WHERE text <> '') GROUP BY 1""")
+def c9_valid_files(spark, sf_dir):
+    """Every document as a file of one of four kinds, three of them invalid."""
+    docs = read_table(spark, sf_dir, "documents").where("text <> ''")
+    kind = F.col("doc_id") % 4
+    made = docs.select(
+        F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.when(kind == 0, ".xyz").otherwise(".Md")).alias("path"),
+        F.when(kind == 1, F.lit(b"")).when(kind == 2, F.lit(None).cast("binary")).otherwise(F.encode("text", "UTF-8")).alias("content"),
+    )
+    return files.checked(made).groupBy("reason").agg(F.count("*").alias("n"))
+
+
 @query("SELECT count(*) AS total_files, count(*) AS successful, 0::BIGINT AS failed, 0::BIGINT AS error_types FROM pages")
 def a9_a17_ingest_summary(spark, sf_dir):
     """Ingestion of html files, summed up."""

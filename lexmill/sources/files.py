@@ -30,6 +30,13 @@ def scan(spark: SparkSession, paths: str | list[str], recursive: bool = True, ex
     return found
 
 
+def checked(files: DataFrame) -> DataFrame:
+    """``files`` with ``valid`` and, where a file can't be processed, the ``reason``: no extractor
+    serves its suffix, it is empty, or it couldn't be read."""
+    reason = F.when(processor(F.col("path")).isNull(), "unsupported format").when(F.col("content").isNull(), "unreadable").when(F.length("content") == 0, "empty")
+    return files.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
+
+
 def decoded(content: Column) -> Column:
     """UTF-8 if the bytes are valid, else Latin-1; every line end becomes \\n."""
     raw = content.cast("string")

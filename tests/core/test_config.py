@@ -25,3 +25,8 @@ def test_corpus_to_samples(spark, sf):
     got = corpus.samples(docs, public_tokenizers.path("byte_bpe_50k.json"), config.build({"samples": {"block": 64, "stride": 32}})).collect()
     assert len(got) > 100 and {r.split for r in got} == {"train", "val", "test"}
     assert all(r.input_ids[1:] == r.labels[:-1] and len(r.input_ids) == len(r.labels) for r in got)
+
+
+def test_summary():
+    s = config.summary(config.build({"cleaning": {"emails": False}}, "small"))
+    assert s["masks"] == ["urls", "phones"] and s["samples"] == "256 tokens every 128" and s["overlap"] == 0.5 and s["split"]["val"] == 0.1
