@@ -17,7 +17,9 @@ copies costs about as many confirmations as it has members.
 The orders propose neighbours, the smallest id and the most central member of a region, which
 joins most groups. What they leave is looked at exactly: in every region whose members are
 still in different components, all pairs of members from different components meet with their
-full sets, in blocks of ``BLOCK`` members, and only links leave a block. Regions are found by
+full sets, in blocks of ``BLOCK`` members, and only links leave a block; in crowded regions of
+documents that are no copies of each other they meet by their rarest shingles, by the prefix
+filter of set joins, which loses no link either. Regions are found by
 their key, so neither crowding nor the cuts of the range partitioning lose a pair. The chance
 that a pair at the threshold shares no region in any tree is about (1 - 0.85**4)**16, less than
 one in 100,000, and (1 - 0.85**3)**16, less than one in a million, where regions are thin.
@@ -56,6 +58,10 @@ NEAR = 8
 VALUES = TREES * DEPTH
 #: Members of a region that meet at once in the exact pass.
 BLOCK = 256
+#: Blocks beside the largest component of a region from which its members meet by rare shingles.
+CROWD = 8
+#: Documents with a common rare shingle that meet at once, and bits of the buckets that count shingles.
+POSTING, RARE_BITS = 4096, 20
 #: Agreeing values (of all) below which a pair at the threshold is out of the question:
 #: more than five standard deviations below the mean of 54.
 LEAST_AGREE = 39
@@ -229,12 +235,13 @@ def _regions(reps: DataFrame, kind: str) -> DataFrame:
     return keyed.join(shared, "region")
 
 
-def _apart(regions: DataFrame, reps: DataFrame, sets: DataFrame, known: DataFrame, kind: str, block: int = BLOCK) -> DataFrame:
+def _apart(regions: DataFrame, reps: DataFrame, sets: DataFrame, known: DataFrame, kind: str, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
     """(a, b): links between the components that members of a region are in.
 
     The largest component of a region needs no pairs of its own, so its blocks meet only the
     blocks of the others; those meet each other too. A pair is looked at in its first common
-    tree; what a block has linked is one component in it from then on.
+    tree; what a block has linked is one component in it from then on. Where more than ``crowd``
+    blocks are left beside the largest component, members meet by their rarest shingles instead.
     """
     named = regions.join(known.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("region", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     parts = named.groupBy("region", "c").agg(F.count("*").alias("n"))
@@ -242,8 +249,10 @@ def _apart(regions: DataFrame, reps: DataFrame, sets: DataFrame, known: DataFram
     mixed = materialise(mixed.select("region", F.col("top.c").alias("main"), F.ceil(F.col("top.n") / block).alias("nm"), F.ceil((F.col("n") - F.col("top.n")) / block).alias("nk")), "mixed")
     if mixed.isEmpty():
         return known.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    many = named.join(mixed.where(F.col("nk") > crowd).select("region"), "region", "left_semi").select("doc_id", "c").distinct()
+    many = materialise(many, "many")
     inside = F.col("c") == F.col("main")
-    members = named.join(mixed, "region").withColumn("own", F.when(inside, F.pmod(F.xxhash64("doc_id"), "nm")).otherwise(F.col("nm") + F.pmod(F.xxhash64("doc_id"), "nk")))
+    members = named.join(mixed.where(F.col("nk") <= crowd), "region").withColumn("own", F.when(inside, F.pmod(F.xxhash64("doc_id"), "nm")).otherwise(F.col("nm") + F.pmod(F.xxhash64("doc_id"), "nk")))
     members = materialise(members, "members").join(reps.select("doc_id", "sig"), "doc_id").join(sets, "doc_id")
     meets = members.withColumn("other", F.explode(F.sequence(F.when(inside, F.col("nm")).otherwise(F.lit(0)), F.col("nm") + F.col("nk") - 1)))
     dealt = meets.select("region", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "c", "sig", "shingles")
@@ -308,7 +317,81 @@ def _apart(regions: DataFrame, reps: DataFrame, sets: DataFrame, known: DataFram
             yield links(held)
 
     keys = ("region", "lo", "hi")
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    out = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return out if many.isEmpty() else out.unionByName(_rare_links(many, sets, kind))
+
+
+def _rare_links(members: DataFrame, sets: DataFrame, kind: str, block: int = POSTING) -> DataFrame:
+    """(a, b): links between the components c of ``members`` (doc_id, c), by a prefix-filtered join.
+
+    Sets that share PERCENT of their union share one of their rarest shingles: of n, those up to
+    the first that leaves fewer than PERCENT of n behind it. Rarity is counted in 2**RARE_BITS
+    buckets of shingles among the members, and any order that is the same for all sets is
+    right. So documents that share a template and have words of their own meet nowhere. A shingle
+    that many of them begin with is dealt in pairs of blocks. Candidates are confirmed on full sets.
+    """
+    rows = materialise(members.join(sets, "doc_id"), "crowd")
+    bucket = F.shiftrightunsigned(F.col("s"), 64 - RARE_BITS).cast("int")
+    counts = rows.select(F.explode("shingles").alias("s")).groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).toArrow()
+    often = np.zeros(1 << RARE_BITS, np.uint32)
+    often[counts.column("b").to_numpy()] = np.minimum(counts.column("n").to_numpy(), 0xFFFFFFFF)
+    shared = rows.sparkSession.sparkContext.broadcast(often)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            n = lists.value_lengths().to_numpy()
+            flat = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((flat, shared.value[(flat.view(np.uint64) >> np.uint64(64 - RARE_BITS)).astype(np.int64)], row))
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            kept = place < (n - -(-PERCENT * n // 100) + 1)[row]
+            row, token = row[kept], flat[order][kept]
+            ids = batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(token), *ids, pa.array(n[row].astype(np.int64)), pa.array(place[kept].astype(np.int64))], ["token", "doc_id", "c", "n", "place"])
+
+    begins = materialise(rows.select("doc_id", "c", "shingles").mapInArrow(prefixes, f"token bigint, doc_id {kind}, c {kind}, n bigint, place bigint"), "prefixes")
+    met = begins.groupBy("token").agg(F.ceil(F.count("*") / block).alias("blocks"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token", "blocks")
+    own = begins.join(met, "token").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks"))
+    meets = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    keys = ("token", "lo", "hi")
+    dealt = meets.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "c", "n", "place")
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
+
+    def pairs(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Candidates of whole groups of rows with the same keys."""
+        token, lo, hi, own, ids, c, n, place = held
+        new = np.ones(len(ids), bool)
+        new[1:] = (token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+        edges = np.append(np.flatnonzero(new), len(ids))
+        for s, e in zip(edges[:-1], edges[1:], strict=True):
+            for x in range(s, e - 1):
+                y = np.arange(x + 1, e)
+                least, most = np.minimum(n[y], n[x]), np.maximum(n[y], n[x])
+                room = np.minimum(n[y] - place[y], n[x] - place[x])  # shingles they may share from here on
+                y = y[(c[y] != c[x]) & ((lo[x] == hi[x]) | (own[y] != own[x])) & (100 * least >= PERCENT * most) & ((100 + PERCENT) * room >= PERCENT * (n[y] + n[x]))]
+                if len(y):
+                    swap = ids[y] < ids[x]
+                    one, two = np.where(swap, ids[y], ids[x]), np.where(swap, ids[x], ids[y])
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (one, two, np.where(swap, c[y], c[x]), np.where(swap, c[x], c[y]))], ["a", "b", "ca", "cb"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = [batch.column(i).to_numpy() for i in range(8)]
+            rows = [np.concatenate([h, x]) for h, x in zip(held, rows, strict=True)] if held else rows
+            last = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1]) & (rows[2] == rows[2][-1])
+            cut = len(last) - int(last[::-1].argmin()) if not last.all() else 0
+            if cut:
+                yield from pairs([x[:cut] for x in rows])
+            held = [x[cut:] for x in rows]  # the last group may go on
+        if held:
+            yield from pairs(held)
+
+    found = materialise(dealt.mapInArrow(run, f"a {kind}, b {kind}, ca {kind}, cb {kind}").distinct(), "candidates")
+    return _confirmed(found, sets).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -137,6 +137,51 @@ def test_exact_pass_links_what_the_orders_left(spark):
         assert {r.a for r in late.collect()} | {r.b for r in late.collect()} >= {60, *range(20, 121)}
 
 
+def test_rare_shingles_link_what_is_near(spark):
+    # a template that all share, words of their own, and copies that are near some of them
+    rng = random.Random(17)
+    template = [f"t{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        words = [*template, *(f"own{i}x{j}" for j in range(rng.choice([10, 40, 120])))]
+        rows.append((3 * i, " ".join(words)))
+        if i % 4 == 0:
+            copy = list(words)
+            copy[rng.randrange(len(copy))] = "changed"
+            rows.append((3 * i + 1, " ".join(copy)))
+    rows += [(1000, "a b"), (1001, "a b c d e f"), (1002, " ".join(template))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = minhash.materialise(minhash._sets(docs, docs.select("doc_id")), "sets")
+    # pairs of one component need no link
+    same = {0: 1, 3: 1}
+    members = spark.createDataFrame([(i, same.get(i, i)) for i, _ in rows], "doc_id long, c long")
+    full = {}
+    for d, t in rows:
+        w = t.split()
+        full[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)}
+    want = set()
+    for a in full:
+        for b in full:
+            n = len(full[a] & full[b])
+            if a < b and same.get(a, a) != same.get(b, b) and 100 * n >= 85 * (len(full[a]) + len(full[b]) - n):
+                want.add(frozenset((same.get(a, a), same.get(b, b))))
+    assert len(want) > 300
+    for block in (16, 4096):
+        got = [frozenset((r.a, r.b)) for r in minhash._rare_links(members, sets, "bigint", block).collect()]
+        assert set(got) == want
+
+
+def test_crowded_regions_equal_the_others(spark):
+    rows = near_rows() + [(9000 + i, t) for i, (_, t) in enumerate(_star(80, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    reps = minhash.materialise(minhash._signed(docs).where("n_shingles > 0").select("doc_id", "n_shingles", "sig"), "reps")
+    regions = minhash.materialise(minhash._regions(reps, "bigint"), "regions")
+    sets = minhash.materialise(minhash._sets(docs, regions.select("doc_id").distinct()), "sets")
+    known = spark.createDataFrame([], "node long, component long")
+    found = [components.components(minhash._apart(regions, reps, sets, known, "bigint", 4, crowd)).collect() for crowd in (0, 3, 1000)]
+    assert sorted(found[0]) == sorted(found[1]) == sorted(found[2]) and len(found[0]) > 150
+
+
 def test_components(spark):
     random.seed(5)
     edges = [(random.randint(0, 200), random.randint(0, 200)) for _ in range(110)] + [(300, 300 + i) for i in range(200)] + [(None, 1)]
