@@ -20,8 +20,8 @@ contract's A-Z); verification compares words that are lower-cased in A-Z only.
 
 Defined results: null and empty texts have no words, are never hit and not contaminated;
 items without words are ignored; equal items all count; words of an item with a null id are hit,
-but it has no id to list or count; rows with equal ids share their hits; a null doc_id is an id
-like any other; other columns are ignored.
+but it has no id to list or count; rows with equal ids are judged each by its own text; a null
+doc_id is an id like any other; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,6 +47,11 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, _GAP), "")
 
 
+def _row(text: Column) -> Column:
+    """A number that tells rows with the same id apart."""
+    return F.xxhash64(text)
+
+
 def _word_count(parts: Column) -> Column:
     """Words among the parts of a text between gaps, of which the outer ones may be empty."""
     outer = [F.when(F.element_at(parts, i) == "", 1).otherwise(0) for i in (1, -1)]
@@ -83,15 +88,15 @@ def _tokens(wins: DataFrame, size: int) -> DataFrame:
 
 
 def _lookup(docs: DataFrame, tables: dict[int, DataFrame]) -> DataFrame:
-    """(doc_id, raw, pos, found): the word positions where a known shingle starts.
+    """(doc_id, row, raw, pos, found): the word positions where a known shingle starts.
 
     ``tables`` maps the words of a shingle to (h, found), one row for each known hash, where
     found is an array. All sizes are looked up in one pass over the texts.
     """
     text = F.col("text").cast("string")
-    both = docs.select("doc_id", _words(text).alias("raw"), _words(_fold(text)).alias("keys"))
+    both = docs.select("doc_id", _row(text).alias("row"), _words(text).alias("raw"), _words(_fold(text)).alias("keys"))
     # outer: keeps the optimizer from adding a filter that would split every text twice
-    spots = both.select("doc_id", "raw", "keys", F.posexplode_outer("keys").alias("pos", "word"))
+    spots = both.select("doc_id", "row", "raw", "keys", F.posexplode_outer("keys").alias("pos", "word"))
     for size, table in tables.items():
         h = F.when(F.col("pos") + size <= F.size("keys"), _shingle(F.col("keys"), F.col("pos"), size))
         spots = spots.join(F.broadcast(table.select(F.col("h").alias(f"h{size}"), F.col("found").alias(f"f{size}"))), h == F.col(f"h{size}"), "left")
@@ -99,7 +104,7 @@ def _lookup(docs: DataFrame, tables: dict[int, DataFrame]) -> DataFrame:
     hit = spots.where(F.coalesce(*found).isNotNull())
     # functions with lambdas would end the generated loop here, and whole texts be buffered for every position
     none = F.array().cast(hit.schema[f"f{min(tables)}"].dataType)
-    return hit.select("doc_id", "raw", "pos", F.concat(*(F.coalesce(f, none) for f in found)).alias("found"))
+    return hit.select("doc_id", "row", "raw", "pos", F.concat(*(F.coalesce(f, none) for f in found)).alias("found"))
 
 
 def _block_matches(docs: DataFrame, wins: DataFrame, sizes: list[int], shingle: int) -> DataFrame:
@@ -113,14 +118,14 @@ def _block_matches(docs: DataFrame, wins: DataFrame, sizes: list[int], shingle:
         # a window with a shingle that no document has can't occur
         sure = rarest.where(F.col("k") == F.col("length") - size + 1)
         prefixes[size] = sure.groupBy(F.col("p.h").alias("h")).agg(F.collect_list(F.struct("window", "length", F.col("p.offset").alias("offset"))).alias("found"))
-    hit = _lookup(docs, prefixes).select("doc_id", "raw", "pos", F.explode("found").alias("w")).select("doc_id", "raw", "w.*", (F.col("pos") - F.col("w.offset")).alias("start"))
+    hit = _lookup(docs, prefixes).select("doc_id", "row", "raw", "pos", F.explode("found").alias("w")).select("doc_id", "row", "raw", "w.*", (F.col("pos") - F.col("w.offset")).alias("start"))
     bounded = hit.where((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.size("raw")))
     same = _ascii_lower(F.array_join(F.slice("raw", F.col("start") + 1, F.col("length")), " ")) == F.col("window")
-    return bounded.where(same).select("doc_id", "start", "length", "window")
+    return bounded.where(same).select("doc_id", "row", "start", "length", "window")
 
 
 def matches(docs: DataFrame, wins: DataFrame, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, start, length, window): every occurrence of every window.
+    """(doc_id, row, start, length, window): every occurrence of every window.
 
     Two passes over the documents for each block of windows, whatever the windows' lengths.
     """
@@ -136,17 +141,19 @@ def matches(docs: DataFrame, wins: DataFrame, shingle: int = SHINGLE, block_byte
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row: doc_id, n_words, n_hit, n_items, items (sorted ids), contaminated."""
+    """Per row: doc_id, n_words, n_hit, n_items, items (sorted ids), contaminated, and ``row``, which
+    tells texts with the same id apart."""
     wins = materialise(windows(benchmark, window), "windows")
     found = materialise(matches(docs, wins, shingle, block_bytes), "matches")
-    spans = found.select("doc_id", "start", (F.col("start") + F.col("length")).alias("end")).distinct()
-    before = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    spans = found.select("doc_id", "row", "start", (F.col("start") + F.col("length")).alias("end")).distinct()
+    before = Window.partitionBy("doc_id", "row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(before), F.lit(0)))
-    hits = spans.withColumn("fresh", F.greatest(fresh, F.lit(0))).groupBy("doc_id").agg(F.sum("fresh").cast("long").alias("n_hit"))
-    sets = found.select("doc_id", "window").distinct().join(wins.select("window", "items"), "window").groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    both = hits.join(sets, hits.doc_id.eqNullSafe(sets.doc_id)).select(hits.doc_id.alias("_id"), "n_hit", "items")
-    size = docs.select("doc_id", F.split(F.col("text").cast("string"), _GAP).alias("parts")).select("doc_id", _word_count(F.col("parts")).alias("n_words"))
-    joined = size.join(both, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    hits = spans.withColumn("fresh", F.greatest(fresh, F.lit(0))).groupBy("doc_id", "row").agg(F.sum("fresh").cast("long").alias("n_hit"))
+    sets = found.select("doc_id", "row", "window").distinct().join(wins.select("window", "items"), "window").groupBy("doc_id", "row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    both = hits.join(sets, hits.doc_id.eqNullSafe(sets.doc_id) & (hits.row == sets.row)).select(hits.doc_id.alias("_id"), hits.row.alias("_row"), "n_hit", "items")
+    text = F.col("text").cast("string")
+    size = docs.select("doc_id", _row(text).alias("row"), F.split(text, _GAP).alias("parts")).select("doc_id", "row", _word_count(F.col("parts")).alias("n_words"))
+    joined = size.join(both, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left")
     n_hit, items = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
         "doc_id",
@@ -155,10 +162,11 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         F.size(items).cast("long").alias("n_items"),
         items.alias("items"),
         ((n_hit > 0) & (100 * n_hit >= percent * F.col("n_words"))).alias("contaminated"),
+        "row",
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated."""
-    bad = decontamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    bad = decontamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (_row(F.col("text").cast("string")) == F.col("__row")), "left_anti")

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lexmill.llm import kernels, line_dedup, minhash, quality, suffix_dedup, toxicity
+from lexmill.llm import decontamination, kernels, line_dedup, minhash, quality, suffix_dedup, toxicity
 
 
 def thue_morse(n):
@@ -89,3 +89,14 @@ def test_fit_finds_the_known_optimum():
     p = model.severity(np.ones(1, np.int64), np.array([0, 1, 1]))
     assert len(model.thresholds) == 1
     assert abs(p[0] - 30 / 40) < 0.01 and abs(p[1] - 10 / 60) < 0.01
+
+
+def test_contamination_of_rows_with_one_id_and_items_without(spark):
+    passage = " ".join(f"p{i}" for i in range(15))
+    rows = [(1, "clean words only"), (1, f"{passage} and more"), (None, passage), (None, "nothing"), (2, "Solo"), (2, "Solo"), (3, None)]
+    docs = spark.createDataFrame([(*r, 9, "x") for r in rows], "doc_id long, text string, row int, items string")
+    items = spark.createDataFrame([(7, passage), (None, "solo"), (None, None)], "item_id long, text string")
+    got = sorted(((r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontamination.decontamination(docs, items).collect()))
+    assert got == [(0, 1, 0, 0, False), (0, 15, 15, 1, True), (1, 3, 0, 0, False), (1, 17, 15, 1, True), (2, 1, 1, 0, True), (2, 1, 1, 0, True), (3, 0, 0, 0, False)]
+    kept = decontamination.clean(docs, items)
+    assert kept.columns == docs.columns and sorted(str(r.text) for r in kept.collect()) == ["None", "clean words only", "nothing"]
