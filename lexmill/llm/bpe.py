@@ -1,10 +1,9 @@
 """BPE encoding and decoding by forced-boundary splitting.
 
 A byte pair that never stands inside any vocabulary token is a certain cut: no merge can
-ever cross it. Texts are cut there, every fragment is encoded by itself, and the ids are
-concatenated: first in front of blanks and newlines, then every fragment at all its other
-certain cuts. Fragments repeat (words, mostly), so most come from a bounded cache, and only the
-parts of new ones are merged.
+ever cross it. Texts are cut there, in front of blanks and newlines and at all other such pairs; every
+part is encoded by itself, and the ids are concatenated. Parts repeat (words, mostly), so most
+come from a bounded cache, and only new ones are merged.
 
 Merging itself is done by a rank merger (tiktoken) when the file's merges are in rank order,
 else by the tokenizers library; special strings and characters whose Unicode class differs
@@ -40,10 +39,10 @@ from pyspark.sql import functions as F
 
 from lexmill.session import ship
 
-#: Entries of a task's fragment cache; when it is full, new fragments are encoded each time.
+#: Entries of a task's cache of parts; when it is full, new parts are encoded each time.
 CACHE_ENTRIES = 200_000
-#: Longer fragments are encoded but not kept.
-CACHE_CHARS = 48
+#: Longer parts are encoded but not kept.
+CACHE_BYTES = 48
 #: Texts are taken in groups of about so many characters.
 GROUP_CHARS = 1_000_000
 
@@ -117,8 +116,9 @@ class FragmentCodec:
         self._special = re.compile("|".join(map(re.escape, self.special))).search if self.special else None
         self._wide_space = re.compile("[" + re.escape("".join(c for c in _SPACES if ord(c) >= 0x80)) + "]").search
         self.unsure = re.compile(f"[^\\x00-{chr(STABLE - 1)}]").search
+        self._cut_byte = np.array([chr(b) in self.cuts for b in range(256)])
         self.merger = self._merger(path, added)
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
 
     def fragments(self, text: str) -> list[str]:
         """The parts of ``text`` between certain cuts in front of blanks and newlines."""
@@ -164,65 +164,65 @@ class FragmentCodec:
         """Without special strings and characters of unsure class."""
         return not (self.unsure(part) or self._special and self._special(part))
 
-    def _cut(self, fragments: list[str]) -> list[list[str]]:
-        """``parts`` of many fragments: the pairs of all of them are looked up at once."""
-        data = [f.encode() for f in fragments]
-        size = np.array([len(d) for d in data])
-        end = np.cumsum(size)
-        text = np.frombuffer(b"".join(data), np.uint8)
+    def pieces(self, texts: list[str]) -> list[list[bytes]]:
+        """The parts of every text between all certain cuts, in UTF-8.
+
+        The byte pairs of all texts are looked up at once; texts with special strings or white
+        space beyond ASCII, whose cuts need more than a pair, are cut one by one.
+        """
+        joined = "\0".join(texts)
+        odd: set[int] = set()
+        if self._special and self._special(joined) or self._wide_space(joined):
+            odd = {i for i, t in enumerate(texts) if self._special and self._special(t) or self._wide_space(t)}
+        coded = [b"" if i in odd else t.encode() for i, t in enumerate(texts)]
+        data = b"".join(coded)
+        end = np.cumsum([len(c) for c in coded], dtype=np.int64)
+        text = np.frombuffer(data, np.uint8)
         a, b = text[:-1], text[1:]
-        cut = self.never[a, b] & ((b & 0xC0) != 0x80) & ~_BLANK[a] & ~_BLANK[b] & (a != 0x27) & ((b != 0x27) | _ALNUM[a])
-        cut[end[:-1] - 1] = False  # where one fragment ends and the next begins
-        at = np.flatnonzero(cut) + 1
-        out = [[f] for f in fragments]
-        if not len(at):
-            return out
-        owner = np.searchsorted(end, at, "right")
-        first = np.flatnonzero(np.diff(owner, prepend=-1))
-        at = (at - (end - size)[owner]).tolist()
-        for i, lo, hi in zip(owner[first].tolist(), first.tolist(), [*first[1:].tolist(), len(at)], strict=True):
-            d, edges = data[i], [0, *at[lo:hi], None]
-            out[i] = [d[s:e].decode() for s, e in zip(edges[:-1], edges[1:], strict=True)]
+        cut = self.never[a, b] & ((b & 0xC0) != 0x80) & ~_BLANK[b] & (a != 0x27) & ((b != 0x27) | _ALNUM[a])
+        cut |= self._cut_byte[b]
+        cut &= ~_BLANK[a]
+        edge = end[:-1] - 1
+        cut[edge[(edge >= 0) & (edge < len(cut))]] = True  # between two texts
+        starts = np.concatenate([[0], np.flatnonzero(cut) + 1]) if data else np.zeros(0, np.int64)
+        ends = [*starts[1:].tolist(), len(data)]
+        found = [data[s:e] for s, e in zip(starts.tolist(), ends, strict=True)] if data else []
+        at = np.searchsorted(starts, np.concatenate([[0], end])).tolist()
+        out = [found[at[i] : at[i + 1]] for i in range(len(texts))]
+        for i in odd:
+            out[i] = [p.encode() for f in self.fragments(texts[i]) for p in self.parts(f)]
         return out
 
-    def _resolve(self, fragments: set[str]) -> dict[str, bytes]:
+    def _resolve(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        names = {p: p.decode() for p in pieces}
         merge = self.merger.encode_ordinary if self.merger is not None else None
-        whole, rest = list(fragments), []
-        joined = "\0".join(whole)  # one search for all of them; most groups have nothing odd
-        if self._special and self._special(joined) or self._wide_space(joined):
-            odd = [bool(self._special and self._special(f) or self._wide_space(f)) for f in whole]
-            whole, rest = [f for f, o in zip(whole, odd, strict=True) if not o], [f for f, o in zip(whole, odd, strict=True) if o]
-        cut = dict(zip(whole, self._cut(whole), strict=True)) if whole else {}
-        cut.update((f, self.parts(f)) for f in rest)
-        names, other = set(chain.from_iterable(cut.values())), []
-        if merge is None or not self.plain("\0".join(names)):
-            other = [p for p in names if merge is None or not self.plain(p)]
-            names.difference_update(other)
-        ids = {p: array("I", merge(p)).tobytes() for p in names}
-        if other:
-            ids.update(zip(other, (array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(other, add_special_tokens=False)), strict=True))
-        return {f: ids[ps[0]] if len(ps) == 1 else b"".join(map(ids.__getitem__, ps)) for f, ps in cut.items()}
+        other: list[bytes] = []
+        if merge is None or not self.plain("\0".join(names.values())):
+            other = [p for p, t in names.items() if merge is None or not self.plain(t)]
+        ids = dict(zip(other, (array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast([names.pop(p) for p in other], add_special_tokens=False)), strict=True)) if other else {}
+        ids.update((p, array("I", merge(t)).tobytes()) for p, t in names.items())
+        return ids
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         at = 0
         while at < len(texts):
-            group, size = [], 0
-            while at < len(texts) and (not group or size < GROUP_CHARS):
-                group.append(self.fragments(texts[at]))
+            first, size = at, 0
+            while at < len(texts) and (at == first or size < GROUP_CHARS):
                 size += len(texts[at])
                 at += 1
+            group = self.pieces(texts[first:at])
             cache = self.cache
             missing = set(chain.from_iterable(group)).difference(cache)
             if missing:
                 cache.update(self._resolve(missing))
-            for fs in group:
-                yield b"".join(map(cache.__getitem__, fs))
+            for ps in group:
+                yield b"".join(map(cache.__getitem__, ps))
             room = CACHE_ENTRIES - (len(cache) - len(missing))
-            for f in missing:  # the first ones, mostly the frequent ones, stay
+            for p in missing:  # the first ones, mostly the frequent ones, stay
                 room -= 1
-                if room < 0 or len(f) > CACHE_CHARS:
-                    del cache[f]
+                if room < 0 or len(p) > CACHE_BYTES:
+                    del cache[p]
 
     def decode(self, ids: bytes) -> bytes:
         """The text of ``ids`` in UTF-8, as the library's byte-level decoder gives it."""

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.bpe import CACHE_CHARS, CACHE_ENTRIES, STABLE, FragmentCodec, pretoken_source
+from lexmill.llm.bpe import CACHE_BYTES, CACHE_ENTRIES, STABLE, FragmentCodec, pretoken_source
 from lexmill.session import ship
 
 
@@ -58,7 +58,7 @@ class WholeTokenCounter:
             total = sum(map(rest.__getitem__, parts))
             for p in new:
                 room -= 1
-                if room < 0 or len(p) > CACHE_CHARS:
+                if room < 0 or len(p) > CACHE_BYTES:
                     del rest[p]
             return total
 

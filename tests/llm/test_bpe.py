@@ -84,14 +84,13 @@ def test_empty_table(spark):
     assert token_counts.count_tokens(none, vocabulary_path()).count() == 0
 
 
-def test_cuts_of_many_fragments_equal_those_of_each():
+def test_pieces_of_many_texts_equal_those_of_each():
     c = bpe.FragmentCodec(vocabulary_path())
     rng = random.Random(8)
     alphabet = "abcXYZ019 '\n\t.,-_éßñΩд日本\u00a0\u2003😀<|>"
-    names = sorted({"".join(rng.choice(alphabet) for _ in range(rng.randint(1, 14))) for _ in range(4000)} | {"a", "'", "é"})
-    plain = [f for f in names if not c._wide_space(f)]
-    assert c._cut(plain) == [c.parts(f) for f in plain]
-    assert sum(len(c.parts(f)) > 1 for f in plain) > 1000
-    assert c._cut(["a"]) == [["a"]]
-    got = c._resolve(set(names))
-    assert all(list(memoryview(got[f]).cast("I")) == c.tok.encode(f, add_special_tokens=False).ids for f in names if not f[0].isspace() and not f[-1].isspace())
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + ["", "a", "'", "", "x<|endoftext|>y z"]
+    got = c.pieces(texts)
+    assert got == [[p.encode() for f in c.fragments(t) for p in c.parts(f)] for t in texts]
+    assert sum(len(ps) > len(c.fragments(t)) for t, ps in zip(texts, got, strict=True)) > 1000
+    assert c.pieces([""]) == [[]] and c.pieces([]) == []
+    assert [list(memoryview(x).cast("I")) for x in c.encode(texts)] == [c.tok.encode(t, add_special_tokens=False).ids for t in texts]
