@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,13 +59,14 @@ class _Json:
     """A file of the tokenizers library."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker for each core
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
         self.size = self.library.get_vocab_size()
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.library.decode_batch(ids, skip_special_tokens=False)
@@ -120,23 +124,55 @@ def tokenizer(path: str) -> Tokenizer:
     return _models[path]
 
 
+#: Bytes of texts, or number of ids, that a tokenizer gets at once: what it makes of them takes
+#: about a hundred times the ids while they are in work.
+SLICE = 1 << 20
+
+
+def slices(sizes: Iterable[int], most: int) -> Iterator[slice]:
+    """Neighbours of at most ``most`` together, or a larger one by itself."""
+    first = at = total = 0
+    for at, size in enumerate(sizes):
+        if at > first and total + size > most:
+            yield slice(first, at)
+            first, total = at, 0
+        total += size
+    yield slice(first, at + 1)
+
+
+def encoded(model: Tokenizer, batch: pa.RecordBatch, max_length: int | None = None, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches (id, tokens) of a batch (id, text), one for each slice of the texts."""
+    for part in slices(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), most):
+        rows = batch[part]
+        ids = [np.array(x[:max_length], np.int32) for x in model.encode([t or "" for t in rows.column(1).to_pylist()])]
+        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(ids, pa.list_(pa.int32()))], [batch.schema.names[0], "tokens"])
+
+
+def decoded(model: Tokenizer, ids: pd.Series, most: int = SLICE) -> list[str]:
+    """The text of every array of ids, slice by slice; null is the empty text."""
+    out: list[str] = []
+    for part in slices((0 if x is None else len(x) for x in ids), most):
+        out += model.decode([[] if x is None else np.asarray(x).tolist() for x in ids.iloc[part]])
+    return out
+
+
 def encode(docs: DataFrame, path: str, max_length: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, tokens): ids of a tokenizer file, cut at ``max_length`` if given; null text has none."""
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tokenizer(path)
         for b in batches:
-            yield pd.DataFrame({id_col: b[id_col], "tokens": [x[:max_length] for x in model.encode([t or "" for t in b[text_col]])]})
+            yield from encoded(model, b, max_length)
 
-    return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInPandas(run, f"`{id_col}` {kind}, tokens array<int>")
+    return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, f"`{id_col}` {kind}, tokens array<int>")
 
 
 def decode(tokens: Column, path: str) -> Column:
     """Text of an array of ids; null is the empty text."""
 
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series(tokenizer(path).decode([list(map(int, x)) if x is not None else [] for x in s]), index=s.index, dtype="object")
+        return pd.Series(decoded(tokenizer(path), s), index=s.index, dtype="object")
 
     return F.pandas_udf(run, "string")(tokens)
