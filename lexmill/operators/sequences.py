@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.session import materialise
+from lexmill.session import materialise, ship
 
 
 def window_starts(n: Column, block: int, stride: int | None = None) -> Column:
@@ -60,13 +65,66 @@ def adapted_block(n_tokens: Column, block: int, least: int = 16) -> Column:
 def concatenated(rows: DataFrame, by: list[str], order: str, col: str, separator: str | None = None) -> DataFrame:
     """Per group ``by``: the texts of ``col`` joined in order, or its arrays one behind the other.
 
-    For groups that fit a row; a whole corpus is written by the text sink instead. Nulls are left out.
+    For groups that fit a row; ``concatenated_sha256`` takes any, and a whole corpus is written by the
+    text sink. Nulls are left out.
     """
     listed = rows.where(F.col(col).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(col).alias("x")))).alias("__rows"))
     parts = F.transform("__rows", lambda r: r.x)
     return listed.select(*by, (F.flatten(parts) if separator is None else F.array_join(parts, separator)).alias(col))
 
 
+def characters(text: str) -> bytes | None:
+    """The characters of ``text`` with a blank between them; an empty text has none."""
+    if not text:
+        return None
+    if not text.isascii():
+        return " ".join(text).encode()
+    out = np.full(2 * len(text) - 1, 0x20, np.uint8)
+    out[::2] = np.frombuffer(text.encode(), np.uint8)
+    return out.tobytes()
+
+
+def concatenated_sha256(rows: DataFrame, by: list[str], order: str, col: str, kinds: dict[str, tuple[Callable[[str], bytes | None], bytes]]) -> DataFrame:
+    """Per group ``by``: SHA-256 of its texts, concatenated in order, for groups of any size.
+
+    ``kinds`` has for each column of digests what a text becomes (None: it is left out) and the
+    separator. Null texts are left out; without any text the digest is null. Rows with equal
+    ``order`` stand by their texts, those without it last. The rows of a group go in order through
+    one task, since SHA-256 takes its bytes one after the other, and none is kept there.
+    """
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, key, state = None, None, {}
+
+        def ended() -> pa.RecordBatch:
+            digests = [pa.array([state[k].hexdigest() if k in state else None], pa.string()) for k in kinds]
+            return pa.RecordBatch.from_arrays([*group.columns, *digests], [*by, *kinds])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(len(by))), strict=True))
+            for at, own in enumerate(keys):
+                if group is None or own != key:
+                    if group is not None:
+                        yield ended()
+                    group, key, state = batch.select(by).slice(at, 1), own, {}
+                text = batch.column(len(by))[at].as_py()
+                for k, (made, separator) in kinds.items():
+                    if text is not None and (part := made(text)) is not None:
+                        if k in state:
+                            state[k].update(separator)
+                        else:
+                            state[k] = hashlib.sha256()
+                        state[k].update(part)
+        if group is not None:
+            yield ended()
+
+    text = F.col(col).cast("string")
+    placed = rows.select(*by, text.alias("__text"), F.col(order).alias("__order")).repartition(*by).sortWithinPartitions(*by, F.col("__order").asc_nulls_last(), "__text")
+    schema = ", ".join([*(f"`{b}` {rows.schema[b].dataType.simpleString()}" for b in by), *(f"`{k}` string" for k in kinds)])
+    return placed.drop("__order").mapInArrow(run, schema)
+
+
 def numbered(rows: DataFrame, order: list, name: str = "number") -> DataFrame:
     """``rows`` with their place in the given order, from 0.
 
