@@ -130,28 +130,76 @@ def near_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vec
     once, in its first common bucket. Lower thresholds need fewer bits or more bands.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = None
         for b in batches:
-            m = np.array(b["v"].tolist(), np.float64).reshape(len(b), -1)
+            if not b.num_rows:
+                continue
+            m = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
             if planes is None:
                 planes = np.random.default_rng(7).normal(size=(m.shape[1], bands * bits))
             side = (m @ planes > 0).reshape(len(m), bands, bits)
-            key = (side * (1 << np.arange(bits))).sum(2) + (np.arange(bands) << bits)
-            yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(), bands), "v": np.repeat(b["v"].to_numpy(), bands), "keys": np.repeat(np.array([*map(np.asarray, key), None], object)[:-1], bands), "g": key.ravel()})
-
-    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    return _pairs_in_groups(rows.mapInPandas(run, "id long, v array<double>, keys array<long>, g long"), threshold, block)
-
-
-def _pairs_in_groups(rows: DataFrame, threshold: float, block: int, named: bool = False) -> DataFrame:
-    """Similar pairs of rows (g, id, v) with the same g; with ``keys``, a pair counts in its first
-    common group alone; ``named`` adds g to the pairs.
+            keys = (side * (1 << np.arange(bits))).sum(2).astype(np.int16 if short else np.int32)
+            lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["id", "v", "keys"])
+
+    ship(vectors.sparkSession)
+    short = bits < 16
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind = "array<float>" if single else "array<double>"
+    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"))
+    coded = materialise(rows.mapInArrow(run, f"id long, v {kind}, keys array<{'short' if short else 'int'}>"), "codes")
+    bucket = lambda band, key: F.shiftleft(band.cast("long"), bits) + key
+    narrow = coded.select(F.posexplode("keys").alias("band", "key")).select(bucket(F.col("band"), F.col("key")).alias("g"))
+    crowded = materialise(narrow.groupBy("g").agg(F.count("*").alias("__n")).where(F.col("__n") > block).select("g"), "crowded")
+    each = coded.select("id", "v", "keys", F.posexplode("keys").alias("band", "key")).select(bucket(F.col("band"), F.col("key")).alias("g"), "id", "v", "keys")
+    # a bucket of one block, as nearly all are, meets itself where it is gathered; of the others there
+    # is at most one for each ``block`` rows, so their numbers are broadcast
+    packed = each.join(F.broadcast(crowded), "g", "left_anti").groupBy("g").agg(F.collect_list(F.struct("id", "v", "keys")).alias("rows"))
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, group in enumerate(batch.column(0).to_pylist()):
+                here = _matrix(batch.column(1)[at].values)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _block_pairs(here, here, True, threshold, group >> bits)], ["i", "j", "sim"])
+
+    out = packed.where(F.size("rows") > 1).mapInArrow(alone, "i long, j long, sim double")
+    if crowded.isEmpty():
+        return out
+    return out.unionByName(_pairs_in_groups(each.join(F.broadcast(crowded), "g", "left_semi"), threshold, block, bits=bits))
+
+
+def _matrix(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Ids, vectors of length 1 and, if there are any, keys of the rows of a block."""
+    lists = lambda name: rows.field(name).flatten().to_numpy().reshape(len(rows), -1)
+    m = lists("v").astype(np.float64)
+    norm = np.sqrt((m * m).sum(1, keepdims=True))
+    keyed = rows.type.get_field_index("keys") >= 0
+    return rows.field("id").to_numpy(), np.divide(m, norm, out=np.zeros_like(m), where=norm > 0), lists("keys") if keyed else None
+
+
+def _block_pairs(here: tuple, other: tuple, same_block: bool, threshold: float, band: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, sim) of two blocks; with keys, of the pairs whose first common key is that of ``band``."""
+    (x, mx, kx), (y, my, ky) = here, other
+    sim = mx @ my.T
+    i, j = np.nonzero(sim >= threshold)
+    keep = x[i] < y[j] if same_block else x[i] != y[j]
+    i, j = i[keep], j[keep]
+    if kx is not None and len(i):
+        first = (kx[i] == ky[j]).argmax(1) == band
+        i, j = i[first], j[first]
+    return np.minimum(x[i], y[j]), np.maximum(x[i], y[j]), sim[i, j]
+
+
+def _pairs_in_groups(rows: DataFrame, threshold: float, block: int, named: bool = False, bits: int = 0) -> DataFrame:
+    """Similar pairs of rows (g, id, v) with the same g; with ``keys`` (of ``bits`` each, g is
+    the band and one of them), a pair counts in its first common group alone; ``named`` adds g to the pairs.
 
     Rows of a group are dealt to blocks by a hash of the id; every pair of blocks meets through an
     equi-join on the second block's number, as one row with two matrices, so no row of two
     single vectors is ever made.
     """
+    ship(rows.sparkSession)
     keyed = "keys" in rows.columns
     sizes = rows.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).alias("n"))
     own = F.struct("id", "v", "keys") if keyed else F.struct("id", "v")
@@ -160,27 +208,13 @@ def _pairs_in_groups(rows: DataFrame, threshold: float, block: int, named: bool
     left = packed.select("g", "rows", F.explode(F.sequence(F.col("b"), F.col("n") - 1)).alias("o"), F.col("b").alias("a"))
     both = left.join(packed.select("g", F.col("b").alias("o"), F.col("rows").alias("others")), ["g", "o"]).select("g", "a", "o", "rows", "others")
 
-    def matrix(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-        lists = lambda name: rows.field(name).flatten().to_numpy().reshape(len(rows), -1)
-        m = lists("v").astype(np.float64)
-        norm = np.sqrt((m * m).sum(1, keepdims=True))
-        return rows.field("id").to_numpy(), np.divide(m, norm, out=np.zeros_like(m), where=norm > 0), lists("keys") if keyed else None
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             group, here, other = batch.column(0), batch.column(3), batch.column(4)
             for at, (a, o) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                (x, mx, kx), (y, my, ky) = matrix(here[at].values), matrix(other[at].values)
-                sim = mx @ my.T
-                i, j = np.nonzero(sim >= threshold)
-                keep = x[i] < y[j] if a == o else x[i] != y[j]
-                i, j = i[keep], j[keep]
-                if keyed and len(i):
-                    same = kx[i] == ky[j]
-                    first = kx[i, same.argmax(1)] == group[at].as_py()
-                    i, j = i[first], j[first]
-                found = [pa.array(np.minimum(x[i], y[j])), pa.array(np.maximum(x[i], y[j])), pa.array(sim[i, j])]
-                yield pa.RecordBatch.from_arrays([*([pa.array([group[at].as_py()] * len(i), group.type)] if named else []), *found], [*(["g"] if named else []), "i", "j", "sim"])
+                band = group[at].as_py() >> bits if keyed else None
+                found = [pa.array(x) for x in _block_pairs(_matrix(here[at].values), _matrix(other[at].values), a == o, threshold, band)]
+                yield pa.RecordBatch.from_arrays([*([pa.array([group[at].as_py()] * len(found[0]), group.type)] if named else []), *found], [*(["g"] if named else []), "i", "j", "sim"])
 
     kind = f"g {rows.schema['g'].dataType.simpleString()}, " if named else ""
     return both.mapInArrow(run, f"{kind}i long, j long, sim double")
