@@ -59,9 +59,14 @@ def write_texts(docs: DataFrame, path: str, name_col: str = "output", text_col:
     return materialise(safe.mapInArrow(run, "name string, bytes bigint"), "written")
 
 
+#: Bytes of a row group of token arrays. Spark reads up to 4,096 rows of a group into one batch and
+#: gives each token a value and two levels there, in buffers that grow by doubling.
+TOKEN_GROUP = 1 << 20
+
+
 def write_tokens(tokens: DataFrame, path: str) -> None:
-    """Token arrays as Parquet."""
-    tokens.write.mode("errorifexists").parquet(path)
+    """Token arrays as Parquet, in row groups small enough to be read back in little memory."""
+    tokens.write.mode("errorifexists").option("parquet.block.size", TOKEN_GROUP).parquet(path)
 
 
 def write_samples(samples: DataFrame, path: str, id_col: str = "doc_id") -> None:
